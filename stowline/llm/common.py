@@ -66,7 +66,7 @@ def write_file(uri: str, data: bytes) -> None:
     """Write one new file; the parent folder is made where the store has folders."""
     fs, path = open_fs(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
+    with fs.open_output_stream(path, compression=None) as out:  # the bytes as they are, whatever the name
         out.write(data)
 
 
