@@ -8,7 +8,6 @@ fast path that cuts pre-tokens here; any other text goes to the library as a who
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 # Characters for which lower-casing and NFC are the same in every Unicode version, without
 # white space other than blank, tab and line ends; letters and numbers among them.
@@ -25,6 +24,30 @@ def pretokens(text: str) -> list[str] | None:
     return _PRETOKEN.findall(text.lower())
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level step's letters: printable bytes stand for themselves, the others for code points from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+class _Cache(dict):
+    """Values by pre-token; what is missing is fetched from the older generation or made."""
+
+    def __init__(self, make_one, start: dict):
+        super().__init__(start)
+        self.old: dict = {}
+        self.make_one = make_one
+        self.misses = 0
+
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            self.misses += 1
+            value = self.make_one(word)
+        self[word] = value
+        return value
+
+
 class PretokenCoder:
     """Encodes texts through two tiers: a fixed table, then a bounded cache that library calls fill.
 
@@ -40,39 +63,35 @@ class PretokenCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.make, self.limit = make, limit
-        self.fixed = dict(fixed or {})
-        self.young: dict = dict(self.fixed)
-        self.old: dict = {}
-        self.misses = 0
+        self.make, self.limit, self.fixed = make, limit, dict(fixed or {})
+        tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
 
-    def _fill(self, words: set) -> None:
-        old, young = self.old, self.young
-        unknown = []
-        for w in words:
-            v = old.get(w)
-            if v is None:
-                unknown.append(w)
-            else:
-                young[w] = v
-        self.misses += len(unknown)
-        make = self.make
-        for w, e in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), strict=True):
-            young[w] = make(e.ids)
+        def one(word: str):
+            if not (word.isascii() and word.isprintable()):
+                word = word.encode().decode("latin-1").translate(letters)
+            return make([t.id for t in tokenize(word)])
+
+        self._one = one
+        self.cache = _Cache(one, self.fixed)
+
+    @property
+    def misses(self) -> int:
+        return self.cache.misses
 
     def chunk(self, texts: list[str]) -> list:
         """Per text the list of its pre-tokens' values."""
-        cut = [pretokens(t) for t in texts]
-        if len(self.young) > self.limit + len(self.fixed):
-            self.old, self.young = self.young, dict(self.fixed)
-        missing = set(chain.from_iterable(c for c in cut if c is not None)).difference(self.young)
-        if missing:
-            self._fill(missing)
-        get = self.young.__getitem__
-        return [
-            [self.make(self.tokenizer.encode(t, add_special_tokens=False).ids)] if c is None else list(map(get, c))
-            for t, c in zip(texts, cut, strict=True)
-        ]
+        if len(self.cache) > self.limit + len(self.fixed):
+            young = _Cache(self._one, self.fixed)
+            young.old, young.misses = dict(self.cache), self.cache.misses
+            self.cache = young
+        get, out = self.cache.__getitem__, []
+        for t in texts:
+            cut = pretokens(t)
+            if cut is None:
+                out.append([self.make(self.tokenizer.encode(t, add_special_tokens=False).ids)])
+            else:
+                out.append(list(map(get, cut)))
+        return out
 
 
 def chunks(texts: list[str], most: int = 2_000_000):

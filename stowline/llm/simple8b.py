@@ -15,73 +15,70 @@ BLOCK = 512
 COUNTS = np.array([0, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _POWERS = np.array([1 << k for k in range(64)], dtype=np.uint64)
+_SMALL = np.searchsorted(_POWERS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs (0 for 0)."""
+    if len(values) and values.max() < len(_SMALL):
+        return _SMALL[values]
     return np.searchsorted(_POWERS, values, side="right").astype(np.uint8)
 
 
-def _selectors(bits: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, position, selector) of each word: every block takes, step by step, the selector with most values.
-
-    bits is padded by 60 zeros. Selector 0 stands for an escaped value.
-    """
-    blocks, at, chosen = [], [], []
-    block, pos, end = np.arange(len(starts)), starts.copy(), ends.copy()
-    while len(pos):
+def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): all words, and per block the index of its first word, then the number of words."""
+    values = np.ascontiguousarray(values, dtype=np.uint64)
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    blocks, row = -(-n // BLOCK), BLOCK + 60
+    # one row per block; the zeros behind each let a word reach past the block's end
+    padded = np.zeros((blocks, row), np.uint64)
+    full = n // BLOCK
+    padded[:full, :BLOCK] = values[: full * BLOCK].reshape(full, BLOCK)
+    padded[full:, : n - full * BLOCK] = values[full * BLOCK :]
+    flat = padded.reshape(-1)
+    bits = widths(flat)
+    block = np.arange(blocks)
+    pos = block * row
+    end = pos + BLOCK
+    end[-1] = pos[-1] + n - BLOCK * (blocks - 1)
+    taken, steps = np.zeros(blocks, np.int64), []
+    while len(pos):  # every block takes, step by step, the selector that packs most values
         sel = np.full(len(pos), 15)
-        most = bits[pos].copy()
+        most = bits[pos]
         sel[most > 60] = 0
-        live = np.flatnonzero(most <= 30)
-        have = 1
+        live, have = np.flatnonzero(most <= 30), 1
+        most, at = most[live], pos[live]
         for s in range(14, 1, -1):  # a longer word needs narrower values, so who fails here fails on
-            if not len(live):
-                break
-            m, p, e = most[live], pos[live], end[live]
             for j in range(have, COUNTS[s]):
-                q = p + j
-                m = np.maximum(m, np.where(q < e, bits[np.minimum(q, len(bits) - 1)], 0))
+                most = np.maximum(most, bits[at + j])
             have = int(COUNTS[s])
-            fits = m <= WIDTHS[s]
-            live, m = live[fits], m[fits]
-            sel[live], most[live] = s, m
-        blocks.append(block), at.append(pos), chosen.append(sel)
-        pos = pos + np.where(sel == 0, 1, COUNTS[sel])
-        go = pos < end
+            fits = np.flatnonzero(most <= WIDTHS[s])
+            if not len(fits):
+                break
+            live, most, at = live[fits], most[fits], at[fits]
+            sel[live] = s
+        steps.append((block, pos, sel, taken[block]))
+        taken[block] += 1 + (sel == 0)
+        pos = pos + np.maximum(COUNTS[sel], 1)
+        go = np.flatnonzero(pos < end)
         block, pos, end = block[go], pos[go], end[go]
-    if not blocks:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none
-    b, p, s = np.concatenate(blocks), np.concatenate(at), np.concatenate(chosen)
-    order = np.argsort(p, kind="stable")
-    return b[order], p[order], s[order]
-
-
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, offsets): all words, and per block the index of its first word, then the number of words."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
-    n = len(values)
-    starts = np.arange(0, n, BLOCK)
-    ends = np.minimum(starts + BLOCK, n)
-    block, pos, sel = _selectors(np.concatenate([widths(values), np.zeros(60, np.uint8)]), starts, ends)
-    size = 1 + (sel == 0)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    words = np.zeros(first[-1], dtype=np.uint64)
-    padded = np.concatenate([values, np.zeros(60, np.uint64)])
+    offsets = np.concatenate([[0], np.cumsum(taken)])
+    words = np.zeros(offsets[-1], dtype=np.uint64)
+    block, pos, sel, index = (np.concatenate(x) for x in zip(*steps, strict=True))
+    to = offsets[block] + index
     for s in np.unique(sel):
         i = np.flatnonzero(sel == s)
+        p = pos[i]
         if s == 0:
-            words[first[i] + 1] = values[pos[i]]
+            words[to[i] + 1] = flat[p]
             continue
         word = np.full(len(i), np.uint64(int(s) << 60))
-        end = ends[block[i]]
         for j in range(COUNTS[s]):
-            q = pos[i] + j
-            word |= np.where(q < end, padded[q], np.uint64(0)) << np.uint64(j * int(WIDTHS[s]))
-        words[first[i]] = word
-    per_block = np.bincount(block, weights=size, minlength=len(starts)).astype(np.int64)
-    return words, np.concatenate([[0], np.cumsum(per_block)]).astype(np.int64)
+            word |= flat[p + j] << np.uint64(j * int(WIDTHS[s]))
+        words[to[i]] = word
+    return words, offsets
 
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:

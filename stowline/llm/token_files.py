@@ -32,7 +32,7 @@ _CODERS: dict = {}
 
 
 def _as_bytes(ids) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Writer:
