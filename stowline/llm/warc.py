@@ -125,8 +125,8 @@ def members(uri: str, start: int, end: int, step: int = 1 << 20):
                 while not unpacker.eof:
                     if fed >= len(data) and not more():
                         raise zlib.error("cut off")
-                    out.append(unpacker.decompress(data[fed:]))
-                    fed = len(data)
+                    out.append(unpacker.decompress(data[fed : fed + (1 << 16)]))  # in steps: what is left over is copied
+                    fed = min(fed + (1 << 16), len(data))
             except zlib.error:
                 at += 1
                 continue
@@ -152,7 +152,7 @@ def parse(raw: bytes) -> dict:
     }
 
 
-def read_archives(manifest: DataFrame, *, split_bytes: int = 8 << 20, payloads: bool = False) -> DataFrame:
+def read_archives(manifest: DataFrame, *, split_bytes: int = 4 << 20, payloads: bool = False) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload]."""
     ranges = manifest.where("size > 0").select("file", F.col("size").alias("total"), F.explode(F.expr(f"sequence(0L, size - 1, {split_bytes}L)")).alias("start"))
     ranges = ranges.select("file", "start", F.least(F.col("start") + split_bytes, "total").alias("stop"))
@@ -177,4 +177,5 @@ def read_archives(manifest: DataFrame, *, split_bytes: int = 8 << 20, payloads:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, form)
 
-    return ranges.repartition(F.xxhash64("file", "start")).mapInArrow(run, schema)
+    total = manifest.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 1
+    return ranges.repartition(max(1, min(int(total), 20_000))).mapInArrow(run, schema)
