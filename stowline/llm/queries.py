@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, quality_rules, simhash, token_counts, token_files, warc
+from . import decontamination, line_dedup, quality_classifier, quality_rules, sentencepieces, sharding, simhash, token_counts, token_files, warc
+from .common import new_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring(table(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
 
@@ -44,11 +54,31 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
+    """documents in four arrivals, compacted after each; what the newest version holds, with a digest of each text."""
+    docs = table(spark, sf_dir, "documents")
+    store = sharding.ShardStore(spark, new_dir(spark, "shards"), target_bytes=64 << 20)
+    for k in range(arrivals):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+        store.compact()
+        store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_warc, op5_quality_rules, op6_token_files, op7_simhash, op10_decontamination)
+    f.__name__: f for f in (
+        op1_quality_classifier, op2_token_counts, op3_line_dedup, op4_warc, op5_quality_rules, op6_token_files,
+        op7_simhash, op8_sharding, op9_sentencepiece, op10_decontamination,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op8_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
 }
-ORACLES: dict[str, str] = {}
