@@ -1,0 +1 @@
+"""Pick-flow and slotting analytics on Spark DataFrames."""

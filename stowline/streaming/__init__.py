@@ -1,0 +1 @@
+"""Empty on purpose: the engine's operators are batch only (periods are declared, late picks are reported, not awaited)."""
