@@ -41,8 +41,12 @@ DEFAULTS: dict[str, Any] = {
 ZERO_MEANS_DEFAULT = ("xyz_minimum_buckets", "affinity_minimum_co_picks", "maximum_candidate_swaps", "maximum_recommendations")
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "boolean": T.BooleanType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema from 'name type, ...'; needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (c.split() for c in spec.split(","))])
 
 
 BLOCKS: dict[str, T.StructType] = {
