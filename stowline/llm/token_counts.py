@@ -35,7 +35,8 @@ def _task_counts(per_task: int, held: int = 200_000):
             if len(seen) > held:
                 seen = Counter(dict(seen.most_common(held // 4)))
         top = seen.most_common(per_task)
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]}, columns=["word", "n"])
+        if top:  # an empty frame has no text column
+            yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
 
     return run
 
