@@ -94,7 +94,8 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, *, wit
                         path.append(back[at][0])
                         at = back[at][1]
                     got.append((source, mode, t, dist[t], path[::-1]))
-            yield pd.DataFrame(got, columns=["src", "mode", "dst", "dist", "path"])
+            if got:
+                yield pd.DataFrame(got, columns=["src", "mode", "dst", "dist", "path"])
 
     return todo.mapInPandas(run, "src string, mode string, dst string, dist double, path array<string>")
 
