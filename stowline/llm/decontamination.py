@@ -114,11 +114,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
         raise ValueError("remove is 'documents' or 'spans'")
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     bad = occurrences(docs, benchmark, **options).where(F.size("words_hit") > 0).dropDuplicates(["__doc_id", "__text_hash"])
-    same = F.col(doc_id).eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.col(text)) == F.col("__text_hash"))
+    own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  docs may have columns of any name
+    same = own(doc_id).eqNullSafe(F.col("b.__doc_id")) & (F.xxhash64(own(text)) == F.col("b.__text_hash"))
     if remove == "documents":
-        return docs.join(bad, same, "left_anti")
-    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"([{_SEPARATORS}]*[^{_SEPARATORS}]+)"), F.lit(1))
-    tail = F.regexp_extract(F.col(text), rf"([{_SEPARATORS}]*)\z", 1)
-    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.array_contains("words_hit", i), p)), lambda p: p.isNotNull())
-    new = F.when(F.col("__text_hash").isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
-    return docs.join(bad, same, "left").select(*[new.alias(c) if c == text else docs[c] for c in docs.columns])
+        return docs.alias("d").join(bad.alias("b"), same, "left_anti")
+    pieces = F.regexp_extract_all(own(text), F.lit(rf"([{_SEPARATORS}]*[^{_SEPARATORS}]+)"), F.lit(1))
+    tail = F.regexp_extract(own(text), rf"([{_SEPARATORS}]*)\z", 1)
+    kept = F.filter(F.transform(pieces, lambda p, i: F.when(~F.array_contains(F.col("b.words_hit"), i), p)), lambda p: p.isNotNull())
+    new = F.when(F.col("b.__text_hash").isNull(), own(text)).otherwise(F.concat(F.array_join(kept, ""), tail))
+    return docs.alias("d").join(bad.alias("b"), same, "left").select(*[(new if c == text else own(c)).alias(c) for c in docs.columns])

@@ -90,9 +90,12 @@ def drop_recurring(docs: DataFrame, *, length: str = "n_chars", **options) -> Da
     """docs with the recurring lines cut out; the column `length`, if there is one, holds the new number of characters."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     drop = recurring_lines(docs, **options).toDF("__doc_id", "__text_hash", "__lines")
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.col(text)) == F.col("__text_hash"))
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__lines", i))
-    new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    wide = docs.join(drop, same, "left").withColumn("__new", new)
-    size = F.when(F.col("__lines").isNull(), F.col(length)).otherwise(F.char_length("__new").cast(dict(docs.dtypes)[length])) if length in docs.columns else None
-    return wide.select(*[F.col("__new").alias(c) if c == text else size.alias(c) if c == length else F.col(c) for c in docs.columns])
+    own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  docs may have columns of any name
+    same = own(doc_id).cast("long").eqNullSafe(F.col("x.__doc_id")) & (F.xxhash64(own(text)) == F.col("x.__text_hash"))
+    cut = F.col("x.__lines").isNotNull()
+    new = F.array_join(F.filter(F.split(own(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("x.__lines"), i)), "\n")
+    changed = {text: new}
+    if length in docs.columns:
+        changed[length] = F.char_length(new).cast(dict(docs.dtypes)[length])
+    wide = docs.alias("d").join(drop.alias("x"), same, "left")
+    return wide.select(*[(F.when(cut, changed[c]).otherwise(own(c)) if c in changed else own(c)).alias(c) for c in docs.columns])

@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are documents labelled 1, the unlabelled class is web text without a label, and the class prior
-is estimated as the share of 1 among the labelled training rows. A small network over counts of the whole text is
+is estimated as the share of 1 among the labelled training rows (which should be drawn like the unlabelled text: a
+prior that is too high hides the negatives). A small network over counts of the whole text is
 fitted by minimising  pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])  with the logistic loss, so that its
 sigmoid estimates the probability of label 1.
 

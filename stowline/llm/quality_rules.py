@@ -112,5 +112,5 @@ def keep_good(docs: DataFrame, **options) -> DataFrame:
     """docs without the rejected documents, all columns unchanged."""
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     bad = judge(docs, **options).where("not kept").select(F.col("doc_id").alias("__doc_id"), F.coalesce("__text_hash", F.lit(0)).alias("__text_hash")).distinct()
-    same = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id")) & (F.coalesce(F.xxhash64(F.col(text)), F.lit(0)) == F.col("__text_hash"))
-    return docs.join(bad, same, "left_anti")
+    same = F.col(f"d.{doc_id}").cast("long").eqNullSafe(F.col("b.__doc_id")) & (F.coalesce(F.xxhash64(F.col(f"d.{text}")), F.lit(0)) == F.col("b.__text_hash"))
+    return docs.alias("d").join(bad.alias("b"), same, "left_anti")

@@ -147,10 +147,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     marked = stage(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash-kept")
     gone = marked.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    own = F.col(f"d.`{doc_id}`")  # docs may have columns of any name
+    left = docs.alias("d").join(gone.alias("x"), own == F.col("x.__gone"), "left_anti")
     twice = stage(marked.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("__twice")), "simhash-twice")
     if twice.isEmpty():
         return left
-    once = left.join(twice, F.col(doc_id) == F.col("__twice"), "left_anti")
-    firsts = left.join(twice, F.col(doc_id) == F.col("__twice"), "left_semi").groupBy(doc_id).agg(F.min_by(F.struct(*docs.columns), F.coalesce(text, F.lit(""))).alias("__row"))
-    return once.unionByName(firsts.select("__row.*"))
+    again = own == F.col("x.__twice")
+    once = left.alias("d").join(twice.alias("x"), again, "left_anti")
+    both = left.alias("d").join(twice.alias("x"), again, "left_semi").select(F.struct(*docs.columns).alias("row"))
+    firsts = both.groupBy(F.col("row")[doc_id]).agg(F.min_by("row", F.coalesce(F.col("row")[text], F.lit(""))).alias("row"))
+    return once.unionByName(firsts.select("row.*"))

@@ -109,7 +109,7 @@ def write_token_files(
                 for values in coder.chunk(piece):
                     writer.add(ids[at], b"".join(values) + end)
                     at += 1
-                    if writer.values >= most_ids:
+                    if writer.values + writer.held >= most_ids:
                         close()
                         writer = _Writer()
         if writer.ids:
