@@ -29,7 +29,7 @@ _CODERS: dict = {}
 
 
 class PieceCoder:
-    def __init__(self, model_file: str, unigram: bool | None = None, limit: int = 300_000):
+    def __init__(self, model_file: str, unigram: bool | None = None, limit: int = 150_000):
         """unigram: by default as the model says (True reads a BPE model's scores as a unigram model's)."""
         import ahocorasick
         import sentencepiece
@@ -101,7 +101,7 @@ class PieceCoder:
         key = (before, piece)
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 400_000:
                 self.pairs.clear()
             own = [self.pieces[piece]] if before < 0 else [self.pieces[before], self.pieces[piece]]
             known = self.pairs[key] = self._merged("".join(own)) == own
