@@ -121,7 +121,7 @@ def _vectors(docs: DataFrame, keep: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
+            x = [features(t.as_py()) for t in batch.column(1)]  # one text at a time
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [keep, "x"])
 
     return docs.mapInArrow(run, f"{keep} long, x array<double>")
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     for ids, most in ((trusted, most_positive), (free, most_unlabelled)):
         bound = _least_hash(ids, most)
         below = F.xxhash64("doc_id", F.lit(11)) <= F.lit(bound)
-        rows = own.where(below).join(ids.where(below).distinct(), "doc_id", "left_semi")
+        few = F.broadcast(ids.where(below).distinct())  # at most `most` ids by the choice of bound, so no text is shuffled
+        rows = own.where(below).join(few, "doc_id", "left_semi")
         got = stage(_vectors(rows.select("doc_id", "text"), "doc_id"), "features").orderBy("doc_id", "x").limit(most).toArrow()
         sampled.append(np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
     return fit_pu(*sampled, prior)
@@ -163,7 +164,7 @@ def score(docs: DataFrame, model: PuModel, *, doc_id: str = "doc_id", text: str
         import pyarrow as pa
 
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(1).to_pylist()], dtype=float).reshape(-1, N_FEATURES)
+            x = np.array([features(t.as_py()) for t in batch.column(1)], dtype=float).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(x))], ["doc_id", "score"])
 
     out = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
