@@ -1,4 +1,4 @@
-"""python -m stowline: normalize, validate, analyze, recommend, simulate or describe a dataset."""
+"""python -m stowline: normalize, validate, analyze, recommend, simulate or describe a dataset, run cases, serve the tools."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import evals, service
 from .operators import quality, slotting
 from .operators.normalise import MappingQuestion
 from .plans import analyse
@@ -19,7 +20,7 @@ from .sources import documents
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="stowline")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("normalize", "validate", "analyze", "recommend", "simulate", "describe"):
+    for name in ("normalize", "validate", "analyze", "recommend", "simulate", "describe", "run-evals", "serve"):
         s = sub.add_parser(name)
         s.add_argument("input")
         s.add_argument("--output", default="out")
@@ -33,13 +34,19 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def _run(spark: SparkSession, a: argparse.Namespace) -> int:
+    if a.command == "serve":
+        service.Service(spark, a.input).serve(sys.stdin, sys.stdout)
+        return 0
+    if a.command == "run-evals":
+        outcomes = evals.run(spark, a.input)
+        print(evals.summary(outcomes))
+        return int(not all(o.passed for o in outcomes))
     out = Path(a.output)
     out.mkdir(parents=True, exist_ok=True)
     if a.command == "normalize":
         bundle, notes = documents.normalise_folder(spark, a.input, documents.load_mapping(a.mapping))
-        for name in ("nodes", "edges", "locations", "items", "assignments", "picks"):
-            getattr(bundle, name).write.mode("overwrite").parquet(str(out / name))
-        reports.write_json(out / "dataset.json", {"meta": vars(bundle.meta), "config": bundle.config, "issues": notes})
+        documents.save(bundle, str(out / "dataset"))
+        reports.write_json(out / "issues.json", notes)
         return 0
     bundle = documents.load(spark, a.input)
     if a.command == "describe":

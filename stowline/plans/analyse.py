@@ -54,11 +54,13 @@ def analyse(bundle: Bundle, *, slots: bool = True) -> Analysis:
         "edges": metrics.edge_flows(bundle, routing), "zones": metrics.zone_flows(bundle, routing), "top_orders": metrics.top_orders(routing, bundle.get("spaghetti_top_orders")),
         "abc": classify.abc(bundle), "affinity": affinity.enriched(bundle, affinity.pairs(bundle)),
     }
+    tables = {k: df.cache() for k, df in tables.items()}  # findings and every report read them again
     tables["top_locations"] = metrics.top_locations(tables["locations"], 10)
     tables["xyz"], facts = classify.xyz(bundle)
+    tables["xyz"] = tables["xyz"].cache()
     tables["classes"] = classify.combined(tables["abc"], tables["xyz"])
     if slots and report.status != "data_error":
-        tables["accepted"], tables["rejected"] = slotting.recommend(bundle, routing)
+        tables["accepted"], tables["rejected"] = (df.cache() for df in slotting.recommend(bundle, routing))
     totals = tables["flow"].first().asDict() | metrics.data_quality(bundle, routing).first().asDict()
     out = Analysis(bundle, report, routing, tables, totals, facts)
     _grade(out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,23 +66,67 @@ def _meta(document: dict) -> Meta:
     return Meta(**own)
 
 
+#: These two blocks may stand under the document's `layout`.
+LAYOUT = ("nodes", "edges")
+
+
+def _rows(document: dict, block: str) -> list:
+    layout = document.get("layout") or {}
+    if not isinstance(layout, dict):
+        raise SourceError("layout is a JSON object")
+    return (layout.get(block) if block in LAYOUT else None) or document.get(block) or []
+
+
+def _head(spark: SparkSession, path: str) -> dict:
+    """The document for its meta and config, from any store that Spark reads."""
+    try:
+        text = spark.read.text(path, wholetext=True).first()
+    except AnalysisException as e:
+        raise SourceError(f"no file {path}") from e
+    try:
+        document = json.loads(text[0] if text else "")
+    except json.JSONDecodeError as e:
+        raise SourceError(f"{path} is no JSON: {e}") from e
+    if not isinstance(document, dict) or not isinstance(document.get("config") or {}, dict):
+        raise SourceError("a dataset is a JSON object, and so is its config")
+    return document
+
+
 def load(spark: SparkSession, path: str) -> Bundle:
-    """A canonical dataset: one JSON document with the six blocks, meta and config. Rows are read by Spark."""
-    every = T.StructType([T.StructField(b, T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in s.fields]))) for b, s in BLOCKS.items()])
+    """A canonical dataset: one JSON document with the six blocks, meta and config, or a folder that save() wrote."""
+    if not str(path).endswith(".json"):
+        return _load_folder(spark, str(path).rstrip("/"))
+    head = _head(spark, path)
+    _rows(head, LAYOUT[0])
+    listed = {b: T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in s.fields])) for b, s in BLOCKS.items()}
+    layout = T.StructType([T.StructField(b, listed[b]) for b in LAYOUT])
+    every = T.StructType([*(T.StructField(b, t) for b, t in listed.items()), T.StructField("layout", layout)])
     raw = spark.read.schema(every).option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
-    head = read_json(path)
-    if not isinstance(head, dict):
-        raise SourceError("a dataset is a JSON object")
+    raw = raw.withColumns({b: F.coalesce(F.col("layout")[b], F.col(b)) for b in LAYOUT})
     return Bundle(**_blocks(raw), meta=_meta(head), config=head.get("config") or {})
 
 
+def save(bundle: Bundle, folder: str) -> None:
+    """The blocks as Parquet, written by the executors, with meta and config beside them; load() reads it."""
+    folder = folder.rstrip("/")
+    for block in BLOCKS:
+        getattr(bundle, block).write.mode("overwrite").parquet(f"{folder}/{block}")
+    text = json.dumps({"meta": vars(bundle.meta), "config": bundle.config}, ensure_ascii=False)
+    bundle.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/dataset")
+
+
+def _load_folder(spark: SparkSession, folder: str) -> Bundle:
+    head = _head(spark, f"{folder}/dataset")
+    return Bundle(**{b: spark.read.parquet(f"{folder}/{b}") for b in BLOCKS}, meta=_meta(head), config=head.get("config") or {})
+
+
 def from_object(spark: SparkSession, document: dict) -> Bundle:
     """A dataset from a parsed document of unit-test size."""
     text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v)
     out = {}
     for block, schema in BLOCKS.items():
         names = schema.fieldNames()
-        rows = [(k, *(text(r.get(n)) for n in names)) for k, r in enumerate(document.get(block) or [])]
+        rows = [(k, *(text(r.get(n)) for n in names)) for k, r in enumerate(_rows(document, block))]
         raw = spark.createDataFrame(rows, T.StructType([T.StructField("ordinal", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
         typed = raw.select(*[_strict(block, f.name, f.dataType.simpleString()) for f in schema.fields], "ordinal")
         out[block] = typed if block in ("assignments", "picks") else typed.drop("ordinal")
