@@ -2,20 +2,22 @@
 
 A gram is `ORDER` code points in one 64-bit integer, 16 bits each (code points beyond that become U+FFFD). Each
 task counts its own texts in bounded memory, Spark adds the counts up; continuation counts, discounts, context
-totals and probabilities are DataFrame aggregates and joins over the distinct grams. What goes out to the workers
-has a proven bound: of each order only grams with at least 1/`most` of the order's total count stay, so that at
-most `most` can stay, and the mass of the others goes to their contexts' back-off weights.
+totals and probabilities are DataFrame aggregates and joins over the distinct grams. store() keeps every counted gram:
+its arrays are dealt by hash into files of the shared folder, and workers look their texts' grams up file by file.
+fit() gathers a bounded model: of each order only grams with at least 1/`most` of the order's total count stay, so that
+at most `most` can stay, and the mass of the others goes to their contexts' back-off weights.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import new_dir, open_fs, stage
 
 ORDER = 4
 _START, _END = 2, 3
@@ -141,14 +143,116 @@ def _arrays(df: DataFrame, seeds: dict[str, int]) -> tuple[np.ndarray, np.ndarra
     return h[order], got.column("value").to_numpy().astype(np.float32)[order] if langs else np.zeros(0, np.float32)
 
 
+@dataclass
+class StoredModel:
+    """Every gram of one language's model: per order a folder of files, a gram's file given by its hash's first bits."""
+
+    probs: list[tuple[str, int]] = field(default_factory=list)  # (folder, bits) of order 1, 2, ...
+    backs: list[tuple[str, int]] = field(default_factory=list)  # contexts of length 0, 1, ...
+    floor: float = -20.0
+
+    def log_probs(self, g: np.ndarray) -> np.ndarray:
+        """log p of each gram's last code, given those before it."""
+        keys, back = np.unique(g, return_inverse=True)
+        out, todo = np.zeros(len(keys)), np.arange(len(keys))
+        for k in range(ORDER, 0, -1):
+            own = keys[todo] if k == ORDER else keys[todo] & np.uint64((1 << 16 * k) - 1)
+            found, value = _find(*self.probs[k - 1], own)
+            out[todo[found]] += value[found]
+            todo, own = todo[~found], own[~found]
+            if not len(todo):
+                return out[back]
+            known, weight = _find(*self.backs[k - 1], own >> np.uint64(16))
+            out[todo[known]] += weight[known]
+        out[todo] += self.floor  # codes never seen
+        return out[back]
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs, as uint64; no two longs share one."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    h = turn((turn(x * p2, 31) * p1) ^ (p5 + np.uint64(42 + 8)), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+#: Files a worker keeps in memory, up to _HELD_BYTES; those used last stay.
+_held: OrderedDict[str, tuple[np.ndarray, np.ndarray]] = OrderedDict()
+_HELD_BYTES = 96 << 20
+
+
+def _file(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    name = f"{folder}/bucket={bucket}"
+    if name in _held:
+        _held.move_to_end(name)
+        return _held[name]
+    store, path = open_fs(name)
+    files = [f.path for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)) if f.path.endswith(".parquet")]
+    got = [pq.read_table(store.open_input_file(f), columns=["h", "value"], use_threads=False) for f in files]
+    t = pa.concat_tables(got) if got else pa.table({"h": pa.array([], pa.int64()), "value": pa.array([], pa.float32())})
+    h = t.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    _held[name] = h[order], t.column("value").to_numpy()[order]
+    while len(_held) > 1 and sum(a.nbytes + b.nbytes for a, b in _held.values()) > _HELD_BYTES:
+        _held.popitem(last=False)
+    return _held[name] if name in _held else (h[order], t.column("value").to_numpy()[order])
+
+
+def _find(folder: str, bits: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, out = np.zeros(len(keys), bool), np.zeros(len(keys))
+    h = spark_hash(keys)
+    order = np.argsort(h)
+    h = h[order]
+    ends = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    for bucket in np.flatnonzero(np.diff(ends)):
+        own = slice(ends[bucket], ends[bucket + 1])
+        hashes, values = _file(folder, int(bucket))
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, h[own]), len(hashes) - 1)
+            found[order[own]], out[order[own]] = hashes[at] == h[own], values[at]
+    return found, out
+
+
+def _files(df: DataFrame) -> tuple[str, int]:
+    """Write (key, value) to files of about 2^18 grams each, 16 at least."""
+    folder, bits = new_dir(df.sparkSession, "model"), max(4, (df.count() >> 18).bit_length())
+    t = df.select(F.xxhash64("key").alias("h"), F.col("value").cast("float").alias("value"))
+    t = t.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    t.repartition(1 << bits, "bucket").write.partitionBy("bucket").parquet(folder)
+    return folder, bits
+
+
+def store(docs: DataFrame, *, text: str = "text") -> StoredModel:
+    """Count all texts as one language and estimate the model with all grams."""
+    model = StoredModel()
+    for probs, backs in _estimate(docs.select(F.lit("").alias("lang"), F.col(text).alias("text")), "lang", "text", None):
+        model.probs.append(_files(probs))
+        model.backs.append(_files(backs))
+    return model
+
+
 def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int = 1 << 19) -> NgramModel:
     """Count all texts and estimate the model, one per language, under one set of arrays."""
+    model = NgramModel({})
+    for probs, backs in _estimate(docs, lang, text, most):
+        model.probs.append(_arrays(probs, model.seeds))
+        model.backs.append(_arrays(backs, model.seeds))
+    return model
+
+
+def _estimate(docs: DataFrame, lang: str, text: str, most: int | None):
+    """Per order from 1 up: (log probabilities, log back-off weights) as (lang, key, value); with `most` None of all grams."""
     tables = {ORDER: stage(count_grams(docs, lang, text), "grams")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end alike
         mask = F.lit((1 << 16 * k) - 1)
         tables[k] = stage(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("n")), "grams")
-    seeds: dict[str, int] = {}
-    probs, backs, lower = [], [], None
+    lower = None
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("ctx", F.shiftrightunsigned("gram", 16))
         of = lambda i: F.sum((F.col("n") == i).cast("double"))  # noqa: B023, E731
@@ -158,10 +262,11 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int =
         ratio = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))  # noqa: B023, E731
         # fixed fall-back discounts where a count of counts is zero
         d = d.select("lang", "distinct", *(F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), ratio(i)))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)))
-        total = t.agg(F.sum("n")).first()[0] or 0
+        total = (t.agg(F.sum("n")).first()[0] or 0) if most else 0
+        frequent = lambda n: F.col(n).cast("double") * most >= F.lit(float(total)) if most else F.lit(True)  # noqa: B023, E731
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(F.broadcast(d) if d.count() <= 10_000 else d, "lang").withColumn("own", F.col("n") - cut)
-        t = t.withColumn("stays", F.col("n").cast("double") * most >= F.lit(float(total)))
+        t = t.withColumn("stays", frequent("n"))
         contexts = t.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("stays"), F.col("own")).otherwise(0.0)).alias("given"))
         contexts = stage(contexts.select("lang", "ctx", "all", (1.0 - F.col("given") / F.col("all")).alias("rest")), "contexts")
         kept = t.where("stays").join(contexts, ["lang", "ctx"])
@@ -170,10 +275,8 @@ def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int =
         else:
             kept = kept.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)))
             kept = kept.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("pl")), ["lang", "tail"], "left")
-            # a suffix is at least as frequent in its order only by rule of thumb; where it was left out its share is what its order gives the rest
+            # with `most`, a suffix is at least as frequent in its order only by rule of thumb; where it was left out its share is what its order gives the rest
             base = F.coalesce("pl", F.lit(1e-9))
         lower = stage(kept.select("lang", "gram", (F.col("own") / F.col("all") + F.col("rest") * base).alias("p")), "probabilities")
-        probs.append(_arrays(lower.select("lang", F.col("gram").alias("key"), F.log("p").alias("value")), seeds))
-        wide = contexts.where(F.col("all").cast("double") * most >= F.lit(float(total)))
-        backs.append(_arrays(wide.select("lang", F.col("ctx").alias("key"), F.log(F.greatest("rest", F.lit(1e-9))).alias("value")), seeds))
-    return NgramModel(seeds, probs, backs)
+        wide = contexts.where(frequent("all"))
+        yield lower.select("lang", F.col("gram").alias("key"), F.log("p").alias("value")), wide.select("lang", F.col("ctx").alias("key"), F.log(F.greatest("rest", F.lit(1e-9))).alias("value"))

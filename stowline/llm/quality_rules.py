@@ -24,9 +24,8 @@ from . import ngram_model
 from .common import stage
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
-#: The model's name. One model serves all languages, since a few letters tell the language: so a document that changes
+#: One model serves all languages, since a few letters tell the language: so a document that changes
 #: its language is no outlier. The bands are language-specific.
-ALL = "all"
 _BIN = 1000  # histogram bins per unit of log perplexity
 
 
@@ -60,7 +59,7 @@ def _letters() -> np.ndarray:
     return np.array([chr(k).isalnum() for k in range(1 << 16)], dtype=np.int64)
 
 
-def scores(docs: DataFrame, model: ngram_model.NgramModel, *, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+def scores(docs: DataFrame, model: ngram_model.StoredModel, *, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
     """Per row: doc_id, lang, __text_hash, the five counts and log_ppl (per letter or digit, end mark included)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -79,7 +78,7 @@ def scores(docs: DataFrame, model: ngram_model.NgramModel, *, doc_id: str = "doc
                 if size > 1_000_000 or i + 1 == len(texts):
                     g, first, _ = ngram_model.joined([x or "" for x in texts[at : i + 1]])
                     letters = np.add.reduceat(_letters()[(g & np.uint64(0xFFFF)).astype(np.int64)], first)
-                    ppl[at : i + 1] = -np.add.reduceat(own.log_probs(ALL, g), first) / np.maximum(letters, 1)
+                    ppl[at : i + 1] = -np.add.reduceat(own.log_probs(g), first) / np.maximum(letters, 1)
                     at, size = i + 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(counts[:, k]) for k in range(5)), pa.array(ppl)], ["doc_id", "lang", "__text_hash", *names, "log_ppl"])
 
@@ -99,7 +98,7 @@ def bands(scored: DataFrame, *, width: float = 6.0, least: float = 0.03, least_d
 
 def judge(docs: DataFrame, *, doc_id: str = "doc_id", lang: str = "lang", text: str = "text", min_words: int = 50, width: float = 6.0) -> DataFrame:
     """Per row: doc_id, the counts, log_ppl, low, high, base_failed, kept; also lang and __text_hash."""
-    model = ngram_model.fit(docs.select(F.lit(ALL).alias("lang"), F.col(text).alias("text")))
+    model = ngram_model.store(docs, text=text)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = stage(scores(docs, model, doc_id=doc_id, lang=lang, text=text).withColumn("base_failed", failed), "quality")
     own = bands(scored, width=width)

@@ -380,6 +380,22 @@ def test_classifier(spark, docs, empty):
     assert {x.score for x in quality_classifier.score(d, none).collect()} == {0.5}
 
 
+def test_stored_model_keeps_rare_grams(spark):
+    """Grams far below 1/2^19 of all keep their place, and scores are those of the model that leaves nothing out."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcdef ") for _ in range(700)) for _ in range(1800)] + ["rare 漢字 words, once only"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, (g, _, _) = ngram_model.store(df), ngram_model.joined(texts)
+    assert len(g) > 2 << 19
+    for k in range(1, ngram_model.ORDER + 1):
+        assert spark.read.parquet(model.probs[k - 1][0]).count() == len(np.unique(g & np.uint64((1 << 16 * k) - 1)))
+    x = np.concatenate([np.unique(g), np.array([1 << 48 | ord("q"), ord("a") << 48 | ord("b") << 32 | ord("c") << 16 | ord("q")], dtype=np.uint64)])
+    whole = ngram_model.fit(df.selectExpr("'x' AS lang", "text"), most=1 << 40)
+    assert np.allclose(model.log_probs(x), whole.log_probs("x", x), atol=1e-5)
+    n = np.array([0, 1, -1, 2**40, -(2**62)])
+    assert [r.h for r in spark.createDataFrame([(int(v),) for v in n], "n long").selectExpr("xxhash64(n) AS h").collect()] == ngram_model.spark_hash(n.view(np.uint64)).view(np.int64).tolist()
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
