@@ -144,8 +144,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Of rows that repeat the kept doc_id one stays, the first by text; rows with a null doc_id stay.
     """
-    doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
-    marked = stage(near_duplicates(docs, **options).select("doc_id", "component_id"), "simhash-kept")
+    return keep_smallest(docs, near_duplicates(docs, **options), options.get("doc_id", "doc_id"), options.get("text", "text"))
+
+
+def keep_smallest(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """keep_one() for components found as (doc_id, component_id)."""
+    marked = stage(found.select("doc_id", "component_id"), "near-kept")
     gone = marked.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     own = F.col(f"d.`{doc_id}`")  # docs may have columns of any name
     left = docs.alias("d").join(gone.alias("x"), own == F.col("x.__gone"), "left_anti")

@@ -11,7 +11,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stowline.llm import components, decontamination, line_dedup, ngram_model, quality_classifier, quality_rules, sentencepieces, sharding, simhash, simple8b, token_counts, token_files, warc  # noqa: E402
+from stowline.llm import components, decontamination, line_dedup, minhash, ngram_model, quality_classifier, quality_rules, sentencepieces, sharding, simhash, simple8b, token_counts, token_files, warc  # noqa: E402
 from stowline.llm.common import new_dir  # noqa: E402
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -128,6 +128,36 @@ def test_simhash(docs, empty):
     assert ids.count(None) == 2
 
 
+def test_near_dedup_stage_reaches_similarity(spark):
+    """The pipeline's stage drops what a chain of pairs of 5-word similarity 0.8 or more leads to, against all pairs."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    rows = []
+    for base in range(6):
+        words = [r.choice("abcdefghij") + str(r.randrange(300)) for _ in range(200)]
+        for edits in (0, 0, 1, 3, 3, 4, 9):
+            own = list(words)
+            for at in r.sample(range(200), edits):
+                own[at] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    root = list(range(len(rows)))
+    near = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            share = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            if share >= 0.8:
+                near += share < 0.9
+                x, y = root[a], root[b]
+                root = [min(x, y) if v in (x, y) else v for v in root]
+    assert near > 5 and len(set(root)) > 6
+    df = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").repartition(3)
+    left = [x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert sorted(x for x in left if x is not None) == sorted(set(root)) and left.count(None) == 1
+    assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("group", [2, 7, 256])
 def test_links_lose_nothing(spark, group):
     """Clusters of close fingerprints, with sub-groups so small that the keys' members meet across many rows."""
