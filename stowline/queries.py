@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import affinity, classify, constraints, metrics, network, normalise, quality, routes, slotting
 from .plans import analyse, evidence
+from .schema import DEFAULTS
 from .sources import starmap
 
 MODES = ["pedestrian", "forklift"]
@@ -335,10 +336,14 @@ def constraint_checks(spark, d):
     return out.select("sku_a", "sku_b", *[f"check_{c}" for c in constraints.CHECKS], "status")
 
 
+_MOST = {"maximum_candidate_swaps": DEFAULTS["maximum_candidate_swaps"]}
+
+
 @_query()
 def swap_replay(spark, d):
-    b = _star(spark, d)
-    return slotting.replay_swaps(b, slotting.candidates(b, 10).select("sku_a", "sku_b"))
+    """Every candidate up to the default limit; the SQL of swap_candidates and constraint_checks stays at its own."""
+    b = _star(spark, d, **_MOST)
+    return slotting.replay_swaps(b, slotting.candidates(b).select("sku_a", "sku_b"))
 
 
 def _replay_sql(k: int) -> str:
@@ -360,13 +365,13 @@ def swap_replay_first(spark, d):
 
 @_query()
 def recommendations(spark, d):
-    accepted, _ = slotting.recommend(_star(spark, d))
+    accepted, _ = slotting.recommend(_star(spark, d, **_MOST))
     return slotting.lines_of(accepted)
 
 
 @_query()
 def rejected_swaps(spark, d):
-    _, rejected = slotting.recommend(_star(spark, d))
+    _, rejected = slotting.recommend(_star(spark, d, **_MOST))
     return slotting.lines_of(rejected)
 
 

@@ -115,6 +115,19 @@ def test_replay_of_many_equals_one_by_one(spark):
         assert many["".join(m)] == (t.comparable_orders, t.affected_orders, t.baseline_m, t.scenario_m)
 
 
+def test_swap_replay_takes_all_candidates(spark):
+    from stowline import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.sku_a, r.sku_b): r for r in queries.QUERIES["swap_replay"](spark, d).collect()}
+    b = starmap.bundle(spark, d, maximum_candidate_swaps=DEFAULTS["maximum_candidate_swaps"])
+    want = [(r.sku_a, r.sku_b) for r in slotting.candidates(b).collect()]
+    assert len(want) > 10 and set(got) == set(want)
+    t, r = slotting.simulate(b, [want[-1]])[0].first(), got[want[-1]]  # a full replay of the last
+    assert (r.comparable_orders, r.affected_orders) == (t.comparable_orders, t.affected_orders)
+    assert (r.baseline_m, r.scenario_m) == pytest.approx((t.baseline_m, t.scenario_m))
+
+
 def test_moves():
     assert slotting.parse_moves([{"sku_a": "a", "sku_b": " b "}]) == slotting.parse_moves({"moves": [{"type": "pair_swap", "sku_a": "a", "sku_b": "b"}]}) == [("a", "b")]
     for bad in ([], {}, [{"sku_a": "a", "sku_b": "a"}], [{"type": "shift"}], "x"):
