@@ -52,22 +52,31 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "describe":
         print(json.dumps({n: getattr(bundle, n).count() for n in ("nodes", "edges", "locations", "items", "assignments", "picks")}))
         return 0
+    tables = (out / "tables").absolute().as_uri()  # whole tables, whatever the JSON shows
     if a.command == "analyze":
         done = analyse.analyse(bundle)
         reports.write_reports(done, out)
+        reports.write_tables(done.tables | {"issues": done.report.issues}, tables)
         return done.report.exit_code
     report = quality.validate(bundle)
     if a.command == "validate" or report.status == "data_error":
-        reports.write_json(out / "validation.json", {"status": report.status, "issues": reports.head(report.issues.drop("rule"), 10_000)})
+        issues = reports.head(report.issues.drop("rule"), 10_000)
+        reports.write_json(out / "validation.json", {"status": report.status, "issues": issues, "shortened": reports.cut({"issues": report.issues}, {"issues": issues})})
+        reports.write_tables({"issues": report.issues}, tables)
         return report.exit_code
     if a.command == "recommend":
         accepted, rejected = slotting.recommend(bundle, report.routing, a.top)
-        doc = {"accepted": reports.head(accepted, 500), "rejected": reports.head(rejected, 500), "thresholds": analyse.thresholds(bundle)}
-        reports.write_json(out / "recommendations.json", doc)
-        reports.write_json(out / "moves.json", reports.moves({"tables": doc}))
+        whole = {"accepted": accepted, "rejected": rejected}
+        doc = {"accepted": reports.head(accepted, accepted.count()), "rejected": reports.head(rejected, 500)}
+        reports.write_json(out / "recommendations.json", doc | {"shortened": reports.cut(whole, doc), "thresholds": analyse.thresholds(bundle)})
+        reports.write_json(out / "moves.json", reports.moves(doc["accepted"]))
+        reports.write_tables(whole, tables)
     else:
         totals, orders, checks = slotting.simulate(bundle, documents.load_moves(a.moves), report.routing)
-        reports.write_json(out / "simulation.json", {"totals": reports.head(totals)[0], "orders": reports.head(orders, 10_000), "checks": reports.head(checks)})
+        whole = {"orders": orders, "checks": checks}
+        doc = {"orders": reports.head(orders, 10_000), "checks": reports.head(checks)}
+        reports.write_json(out / "simulation.json", {"totals": reports.head(totals)[0]} | doc | {"shortened": reports.cut(whole, doc)})
+        reports.write_tables(whole, tables)
     return report.exit_code
 
 

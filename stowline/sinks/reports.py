@@ -33,9 +33,9 @@ def write_text(path: str | Path, text: str) -> None:
     Path(path).write_text(text, encoding="utf-8")
 
 
-def write_tables(analysis: Analysis, folder: str) -> None:
+def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """Every table in full, as Parquet written by the executors."""
-    for name, df in analysis.tables.items():
+    for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
 
 
@@ -49,18 +49,25 @@ def head(df: DataFrame, n: int = SHOWN) -> list[dict]:
     return [{k: _round(v) for k, v in r.asDict(recursive=True).items()} for r in df.limit(n).collect()]
 
 
+def cut(frames: dict[str, DataFrame], shown: dict[str, list]) -> dict[str, int]:
+    """The total count of each list that shows less than its table."""
+    totals = {k: df.count() for k, df in frames.items()}
+    return {k: n for k, n in totals.items() if n > len(shown[k])}
+
+
 def document(a: Analysis) -> dict:
+    tables, issues = {k: head(df) for k, df in a.tables.items()}, head(a.report.issues.drop("rule"), 500)
     return {
         "status": a.status, "dataset_id": a.bundle.meta.dataset_id, "meta": vars(a.bundle.meta), "thresholds": thresholds(a.bundle),
-        "totals": {k: _round(v) for k, v in a.totals.items()}, "xyz": a.xyz_facts, "issues": head(a.report.issues.drop("rule"), 500),
-        "tables": {k: head(df) for k, df in a.tables.items()}, "grades": {k: vars(g) for k, g in a.grades.items()},
+        "totals": {k: _round(v) for k, v in a.totals.items()}, "xyz": a.xyz_facts, "issues": issues,
+        "tables": tables, "shortened": cut(a.tables | {"issues": a.report.issues}, tables | {"issues": issues}), "grades": {k: vars(g) for k, g in a.grades.items()},
         "findings": [{"id": f"F-{k:03d}", "claim": f.claim, "title": f.title, "text": f.text, "quality": f.grade.quality if f.grade else None, "caps": list(f.grade.caps) if f.grade else []} for k, f in enumerate(a.findings, 1)],
     }
 
 
-def moves(doc: dict) -> dict:
-    """The accepted swaps as a move list that simulate() reads."""
-    return {"moves": [{"type": "pair_swap", "sku_a": r["sku_a"], "sku_b": r["sku_b"]} for r in doc["tables"].get("accepted", [])]}
+def moves(accepted: list) -> dict:
+    """The accepted swaps, all of them, as a move list that simulate() reads."""
+    return {"moves": [{"type": "pair_swap", "sku_a": r["sku_a"], "sku_b": r["sku_b"]} for r in accepted]}
 
 
 def _rows(table: list[dict]) -> list[list[str]]:
@@ -72,14 +79,15 @@ def markdown(doc: dict) -> str:
     out += [f"- **{f['id']}** ({f['claim']}, evidence {f['quality'] or 'not graded'}) {f['title']}: {f['text']}" + "".join(f" Capped: {c}." for c in f["caps"]) for f in doc["findings"]]
     out += ["", "## Totals", ""] + [f"- {k}: {v}" for k, v in doc["totals"].items()]
     for name, table in doc["tables"].items():
-        out += ["", f"## {name}", ""]
+        total = doc["shortened"].get(name, len(table))
+        out += ["", f"## {name}" + (f" (first 20 of {total})" if total > 20 else ""), ""]
         rows = _rows(table[:20])
         if not rows:
             out.append("none")
             continue
         cell = lambda v: v.replace("|", "\\|").replace("\n", " ")
         out += ["| " + " | ".join(map(cell, r)) + " |" for r in (rows[0], ["---"] * len(rows[0]), *rows[1:])]
-    out += ["", "## Issues", ""] + ([f"- {i['severity']} {i['code']} ({i['field']}): {', '.join(i['affected'])}" for i in doc["issues"]] or ["none"])
+    out += ["", "## Issues" + (f" (first {len(doc['issues'])} of {doc['shortened']['issues']})" if "issues" in doc["shortened"] else ""), ""] + ([f"- {i['severity']} {i['code']} ({i['field']}): {', '.join(i['affected'])}" for i in doc["issues"]] or ["none"])
     out += ["", "## Parameters", ""] + [f"- {k}: {v}" for k, v in doc["thresholds"].items()]
     return "\n".join(out) + "\n"
 
@@ -92,7 +100,8 @@ def html(doc: dict, drawings: list[str]) -> str:
     for name, table in doc["tables"].items():
         rows = _rows(table)
         if rows:
-            parts.append(f"<h2>{escape(name)}</h2><table>" + "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>")
+            more = f" ({len(table)} of {doc['shortened'][name]})" if name in doc["shortened"] else ""
+            parts.append(f"<h2>{escape(name + more)}</h2><table>" + "".join("<tr>" + "".join(f"<td>{escape(v)}</td>" for v in r) + "</tr>" for r in rows) + "</table>")
     return "<!doctype html><meta charset='utf-8'><title>Pick-flow analysis</title><style>body{font-family:sans-serif;margin:2em}td{border:1px solid #ccc;padding:2px 6px}</style>" + "\n".join(parts) + "\n"
 
 
@@ -105,9 +114,10 @@ def write_reports(a: Analysis, folder: str | Path) -> dict:
     one = svg.spaghetti(a.bundle, a.routing.legs, svg.chosen(a.routing.orders, top=1))
     many = svg.spaghetti(a.bundle, a.routing.legs, svg.chosen(a.routing.orders, top=a.bundle.get("spaghetti_top_orders")))
     write_json(folder / "analysis.json", doc)
-    rows = head(slotting.lines_of(a.tables["accepted"]), 500) if "accepted" in a.tables else []
+    accepted = a.tables["accepted"].count() if "accepted" in a.tables else 0
+    rows = head(slotting.lines_of(a.tables["accepted"]), accepted) if "accepted" in a.tables else []
     write_csv(folder / "recommendations.csv", rows, list(rows[0]) if rows else ["swap_id", "sku_a", "sku_b"])
-    write_json(folder / "moves.json", moves(doc))
+    write_json(folder / "moves.json", moves(head(a.tables["accepted"], accepted) if "accepted" in a.tables else []))
     write_text(folder / "report.md", markdown(doc))
     write_text(folder / "report.html", html(doc, [flow, many]))
     for name, text in (("flow-map", flow), ("spaghetti", one), ("spaghetti-aggregate", many)):

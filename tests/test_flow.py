@@ -249,6 +249,22 @@ def test_files(spark, tmp_path, base):
     assert 'stroke-width="10.00"' in (tmp_path / "out/flow-map.svg").read_text()
 
 
+def test_command_line_writes_whole_tables(spark, tmp_path):
+    from stowline import __main__ as cli
+
+    doc = minimal()
+    doc["locations"] += [doc["locations"][0] | {"location_id": f"X{k}"} for k in range(60)]
+    (tmp_path / "data.json").write_text(json.dumps(doc))
+    for command in ("recommend", "analyze"):
+        cli._run(spark, cli._parser().parse_args([command, str(tmp_path / "data.json"), "--output", str(tmp_path / command)]))
+    shown = json.loads((tmp_path / "analyze/analysis.json").read_text())
+    assert shown["shortened"]
+    for name, n in shown["shortened"].items():
+        assert n > 50 and spark.read.parquet(str(tmp_path / "analyze/tables" / name)).count() == n
+    assert spark.read.parquet(str(tmp_path / "recommend/tables/accepted")).count() == 1
+    assert len(reports.moves([{"sku_a": f"a{k}", "sku_b": f"b{k}"} for k in range(60)])["moves"]) == 60
+
+
 def test_csv_and_normaliser(spark, tmp_path):
     (tmp_path / "items.csv").write_text('﻿article; text ;litres;gram;picker_name;badge_no\n a1 ;"x; y";1,5;2 000;Ann;7\nb2;;;;Bob;8\n', encoding="utf-8")
     raw = documents.read_csv(spark, str(tmp_path / "items.csv"))
