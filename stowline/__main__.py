@@ -65,7 +65,7 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> int:
         reports.write_tables({"issues": report.issues}, tables)
         return report.exit_code
     if a.command == "recommend":
-        accepted, rejected = slotting.recommend(bundle, report.routing, a.top)
+        accepted, rejected = slotting.recommend(bundle, a.top)
         whole = {"accepted": accepted, "rejected": rejected}
         doc = {"accepted": reports.head(accepted, accepted.count()), "rejected": reports.head(rejected, 500)}
         reports.write_json(out / "recommendations.json", doc | {"shortened": reports.cut(whole, doc), "thresholds": analyse.thresholds(bundle)})

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schema import Bundle
-from .network import shortest_paths
+from .network import away_from
 from .routes import Routing
 
 
@@ -35,14 +35,13 @@ def flow_metrics(bundle: Bundle, routing: Routing) -> DataFrame:
         percentile("total_distance_m", 50).alias("median_distance_per_order_m"), percentile("total_distance_m", 90).alias("p90_distance_per_order_m"),
         F.coalesce(F.sum(F.when(done, F.col("zone_transitions"))), F.lit(0)).alias("zone_transitions"),
         F.count_if(F.col("reason") == "UNREACHABLE_SEGMENT").alias("unreachable_orders"), F.count_if(F.col("reason") == "MISSING_PICK_SEQUENCE").alias("unsequenced_orders"),
-        F.count_if(~done).alias("excluded_orders"),
+        F.count_if(~done).alias("excluded_orders"), F.coalesce(F.sum("lines"), F.lit(0)).alias("total_pick_lines"), F.coalesce(F.sum("units"), F.lit(0.0)).alias("total_units"),
     )
-    p = bundle.picks.agg(F.count("*").alias("total_pick_lines"), F.coalesce(F.sum("quantity"), F.lit(0.0)).alias("total_units"))
-    return o.crossJoin(p).withColumn("average_distance_per_pick_m", F.try_divide("total_distance_m", "pick_lines_in_valid_orders"))  # two single rows
+    return o.withColumn("average_distance_per_pick_m", F.try_divide("total_distance_m", "pick_lines_in_valid_orders"))
 
 
 def _complete_legs(routing: Routing) -> DataFrame:
-    return routing.legs.join(routing.orders.where("complete").select("order_id"), "order_id", "left_semi")
+    return routing.legs.where("complete")
 
 
 def _share(name: str) -> Column:
@@ -57,9 +56,7 @@ def location_metrics(bundle: Bundle, routing: Routing) -> DataFrame:
         F.count_if(~F.col("is_return")).alias("visits"), F.countDistinct("order_id").alias("orders"), F.sum("distance_m").alias("attributable_distance_m")
     )
     units = bundle.picks.groupBy("location_id").agg(F.sum("quantity").alias("units"))
-    start, mode = bundle.get("route_start_node"), bundle.get("default_mode")
-    wanted = bundle.locations.select(F.lit(start).cast("string").alias("src"), F.lit(mode).alias("mode"), F.col("access_node_id").alias("dst")).distinct()
-    away = shortest_paths(bundle.nodes, bundle.edges, wanted, with_edges=False).select(F.col("dst").alias("access_node_id"), F.col("dist").alias("distance_from_start_m"))
+    away = away_from(bundle, bundle.get("route_start_node"), bundle.get("default_mode")).withColumnRenamed("away", "distance_from_start_m")
     out = bundle.locations.select("location_id", "access_node_id", "zone_id").join(walked, "location_id", "left").join(units, "location_id", "left").join(away, "access_node_id", "left")
     out = out.select("location_id", "zone_id", _zero("visits").alias("visits"), _zero("orders").alias("orders"), F.coalesce("units", F.lit(0.0)).alias("units"), F.coalesce("attributable_distance_m", F.lit(0.0)).alias("attributable_distance_m"), "distance_from_start_m")
     # a layout's locations: one partition for the shares is of the building's size
@@ -88,8 +85,9 @@ def pick_assignments(bundle: Bundle) -> DataFrame:
 def edge_flows(bundle: Bundle, routing: Routing) -> DataFrame:
     """Every edge: traversals in both directions over complete routes, share, and length walked."""
     # paths are counted by leg kind first, so that only distinct (from, to, mode) paths are expanded
-    used = _complete_legs(routing).groupBy("from_node", "to_node", "mode").agg(F.count("*").alias("times"), F.first("path").alias("path"))
-    counts = used.select("times", F.explode("path").alias("edge_id")).groupBy("edge_id").agg(F.sum("times").alias("traversals"))
+    used = _complete_legs(routing).groupBy("from_node", "to_node", "mode").agg(F.count("*").alias("times"))
+    each = used.join(routing.paths, ["from_node", "to_node", "mode"]).select("times", F.explode("path").alias("edge_id"))
+    counts = each.groupBy("edge_id").agg(F.sum("times").alias("traversals"))
     out = bundle.edges.select("edge_id", "distance_m").join(counts, "edge_id", "left").select("edge_id", _zero("traversals").alias("traversals"), "distance_m")
     return out.select("edge_id", "traversals", _share("traversals").alias("share_percent"), (F.col("traversals") * F.col("distance_m")).alias("walked_m"))
 
@@ -111,11 +109,14 @@ def top_locations(locations: DataFrame, n: int) -> DataFrame:
 
 def data_quality(bundle: Bundle, routing: Routing) -> DataFrame:
     """Counts of the blocks and the share of orders that could be routed, one row."""
-    sizes = [getattr(bundle, b).agg(F.count("*").alias(b)) for b in ("nodes", "edges", "locations", "items", "assignments", "picks")]
-    out = routing.orders.agg(
-        F.count("*").alias("orders"), F.count_if("complete").alias("routed_orders"), F.count_if(~F.col("complete")).alias("excluded_orders"),
-    )
-    stamps = bundle.picks.agg(F.count("timestamp").alias("picks_with_timestamp"), F.count("pick_sequence").alias("picks_with_sequence"))
-    for one in [*sizes, stamps]:
-        out = out.crossJoin(one)  # single rows
+    one = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+    counts = one("nodes", bundle.nodes)
+    for b in ("edges", "locations", "items", "assignments"):
+        counts = counts.union(one(b, getattr(bundle, b)))
+    p = bundle.picks.agg(F.count("*").alias("picks"), F.count("timestamp").alias("picks_with_timestamp"), F.count("pick_sequence").alias("picks_with_sequence"))
+    o = routing.orders.agg(F.count("*").alias("orders"), F.count_if("complete").alias("routed_orders"), F.count_if(~F.col("complete")).alias("excluded_orders"))
+    for facts in (p, o):
+        counts = counts.union(facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in facts.columns])).alias("x")).select("x.*"))
+    names = ("orders", "routed_orders", "excluded_orders", "nodes", "edges", "locations", "items", "assignments", "picks", "picks_with_timestamp", "picks_with_sequence")
+    out = counts.agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])  # a row per count
     return out.withColumn("route_coverage_percent", F.when(F.col("orders") == 0, 0.0).otherwise(100.0 * F.col("routed_orders") / F.col("orders")))

@@ -1,7 +1,8 @@
 """Swap candidates, replay under a new layout, and recommendations.
 
-A replay puts every assigned SKU at its assigned location, then applies the moves. For many candidates at once only
-the orders that hold one of the two SKUs are rebuilt; the others keep their replay under the unswapped assignment.
+A replay puts every assigned SKU at its assigned location, then applies the moves. Many candidates at once are
+replayed by the legs they change: a swap moves the stops of two SKUs, so an order's new length is that of its replay
+under the unswapped assignment plus the differences of the legs beside those stops.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from ..functions.shared import checkpoint
 from ..schema import Bundle
 from .constraints import check_swaps
 from .metrics import pick_assignments
-from .network import shortest_paths
-from .routes import Routing, build
+from .network import away_from
+from .routes import Distances, Routing, build, in_order, places, whole_order, with_order_facts
 
 CHANGED = 1e-9
 
@@ -27,10 +28,9 @@ def _demand(bundle: Bundle) -> DataFrame:
     """(sku, location_id, lines, away): items at pick-type locations with a distance from the start."""
     start, mode = bundle.get("route_start_node"), bundle.get("default_mode")
     counts = bundle.picks.groupBy("sku").agg(F.count("*").alias("n"))
-    places = bundle.locations.where("location_type = 'pick'").dropDuplicates(["location_id"]).select("location_id", "access_node_id")
-    wanted = places.select(F.lit(start).cast("string").alias("src"), F.lit(mode).alias("mode"), F.col("access_node_id").alias("dst")).distinct()
-    away = shortest_paths(bundle.nodes, bundle.edges, wanted, with_edges=False).select(F.col("dst").alias("access_node_id"), F.col("dist").alias("away"))
-    own = bundle.items.select("sku").distinct().join(pick_assignments(bundle).select("sku", "location_id"), "sku").join(places, "location_id").join(away, "access_node_id")
+    picked = bundle.locations.where("location_type = 'pick'").dropDuplicates(["location_id"]).select("location_id", "access_node_id")
+    away = away_from(bundle, start, mode)
+    own = bundle.items.select("sku").distinct().join(pick_assignments(bundle).select("sku", "location_id"), "sku").join(picked, "location_id").join(away, "access_node_id")
     return own.join(counts, "sku", "left").select("sku", "location_id", F.coalesce("n", F.lit(0)).alias("lines"), "away")
 
 
@@ -79,41 +79,93 @@ def assigned(bundle: Bundle) -> DataFrame:
     return pick_assignments(bundle).select("sku", F.col("location_id").alias("to_location"))
 
 
-def replay_swaps(bundle: Bundle, swaps: DataFrame, base: Routing | None = None) -> DataFrame:
-    """swaps: distinct (sku_a, sku_b). Per swap the totals of compare(), from one pass over the affected orders only."""
-    base = base or build(bundle)
+#: Swaps up to which they go out by broadcast.
+MOST_SWAPS = 100_000
+
+
+def replay_swaps(bundle: Bundle, swaps: DataFrame) -> DataFrame:
+    """swaps: distinct (sku_a, sku_b). Per swap the totals of compare() between the recorded routes and the replay.
+
+    One pass: picks are shuffled by order once; each stop of a swapped SKU meets its swaps there and gives the change of
+    the leg before it and, unless the next stop moves too, of the leg behind it.
+    """
+    start, end = (F.lit(bundle.get(k)).cast("string") for k in ("route_start_node", "route_end_node"))
     own = checkpoint(assigned(bundle))
-    before = base.orders.where("complete").select("order_id", F.col("total_distance_m").alias("b"))
-    plain = build(bundle, own).orders.where("complete").select("order_id", F.col("total_distance_m").alias("u"))
-    both = checkpoint(before.join(plain, "order_id", "left"))  # b of all complete orders; u null where the replay is not complete
-    whole = both.where("u is not null").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("u") - F.col("b")) > CHANGED).alias("moved"), F.sum("b").alias("b"), F.sum("u").alias("u"))
-    ends = swaps.join(own.toDF("sku_a", "home_a"), "sku_a").join(own.toDF("sku_b", "home_b"), "sku_b").withColumn("swap", F.concat_ws("\u0001", "sku_a", "sku_b"))
-    skus = ends.select("swap", F.explode(F.array("sku_a", "sku_b")).alias("sku"))
-    hit = bundle.picks.select("order_id", "sku").distinct().join(skus, "sku").select("swap", "order_id").distinct()
-    lines = bundle.picks.join(hit, "order_id").join(ends, "swap").join(own, "sku", "left")
-    place = F.when(F.col("sku") == F.col("sku_a"), F.col("home_b")).when(F.col("sku") == F.col("sku_b"), F.col("home_a")).otherwise(F.coalesce("to_location", "location_id"))
-    copies = lines.select(F.concat_ws("\u0002", "swap", "order_id").alias("order_id"), "pick_id", "pick_sequence", "ordinal", "timestamp", "sku", place.alias("location_id"), "quantity", "mode")
-    new = build(bundle, picks=copies).orders.where("complete").select(F.split("order_id", "\u0002")[0].alias("swap"), F.split("order_id", "\u0002")[1].alias("order_id"), F.col("total_distance_m").alias("s"))
-    per = hit.join(both, "order_id").join(new, ["swap", "order_id"], "left").groupBy("swap").agg(
-        F.count("s").alias("n_new"), F.count("u").alias("n_old"), F.count_if(F.abs(F.col("s") - F.col("b")) > CHANGED).alias("moved_new"), F.count_if(F.abs(F.col("u") - F.col("b")) > CHANGED).alias("moved_old"),
-        F.sum(F.when(F.col("s").isNotNull(), F.col("b"))).alias("b_new"), F.sum(F.when(F.col("u").isNotNull(), F.col("b"))).alias("b_old"), F.sum("s").alias("s_new"), F.sum("u").alias("s_old"),
+    place = places(bundle).select("location_id", F.when(F.col("access_known"), F.col("access")).alias("node"))
+    home = own.join(place.toDF("to_location", "home"), "to_location", "left").select("sku", "home")
+    ends = swaps.join(home.toDF("sku_a", "home_a"), "sku_a").join(home.toDF("sku_b", "home_b"), "sku_b")
+    ends = checkpoint(ends.withColumn("swap", F.struct("sku_a", "sku_b")))
+    by_sku = ends.select("swap", "home_a", "home_b", F.explode(F.array("sku_a", "sku_b")).alias("sku")).groupBy("sku").agg(F.collect_list(F.struct("swap", "home_a", "home_b")).alias("swaps"))
+    by_sku = F.broadcast(by_sku) if ends.count() <= MOST_SWAPS else by_sku
+    p = bundle.picks.select("order_id", "pick_id", "pick_sequence", "ordinal", "sku", "location_id", "mode")
+    p = p.join(own, "sku", "left").withColumn("to_location", F.coalesce("to_location", "location_id"))
+    p = p.join(place.toDF("location_id", "then"), "location_id", "left").join(place.toDF("to_location", "now"), "to_location", "left")
+    p = p.withColumns({
+        "leg_no": F.row_number().over(in_order()), "then_before": F.lag("then", 1).over(in_order()), "now_before": F.lag("now", 1).over(in_order()), "now_next": F.lead("now", 1).over(in_order()),
+        "sku_before": F.lag("sku", 1).over(in_order()), "sku_next": F.lead("sku", 1).over(in_order()), "is_last": F.lead(F.lit(1), 1).over(in_order()).isNull(),
+    })
+    first = F.col("leg_no") == 1
+    p = p.withColumns({"then_before": F.when(first, start).otherwise(F.col("then_before")), "now_before": F.when(first, start).otherwise(F.col("now_before")), "now_next": F.when(F.col("is_last"), end).otherwise(F.col("now_next"))})
+    p = with_order_facts(p, bundle).where("excluded is null")
+    d = Distances(bundle)
+    if not d.small:
+        p = checkpoint(p)
+        moved = ends.select(F.explode(F.array("home_a", "home_b")).alias("x")).distinct()
+        near = p.select("mode", F.explode(F.array("then_before", "then", "now_before", "now", "now_next", end)).alias("x")).union(p.select("mode").distinct().crossJoin(moved))  # modes are few
+        near = near.where("x is not null").distinct()
+        some = p.select(F.col("then_before").alias("src"), "mode", F.col("then").alias("dst")).union(p.select("now_before", "mode", "now")).union(p.select("now", "mode", "now_next")).union(p.where("is_last").select("then", "mode", end))
+        aside = near.join(moved.toDF("y"), F.col("x").isNotNull() & F.col("y").isNotNull())  # nodes of the layout with those of the moved
+        d.solve(some.union(aside.select("x", "mode", "y")).union(aside.select("y", "mode", "x")).where("src is not null and dst is not null").distinct())
+    known = lambda c: F.col(c).isNotNull()  # noqa: E731  nodes outside the layout are null here
+    p = d.add(p, "then_in", F.col("then_before"), F.col("then"), known("then"))
+    p = d.add(p, "then_back", F.col("then"), F.when(F.col("is_last"), end), known("then"))
+    p = d.add(p, "now_in", F.col("now_before"), F.col("now"), known("now"))
+    p = d.add(p, "now_out", F.col("now"), F.col("now_next"), known("now"))
+    gone, length = (lambda c: F.col(c).isNull().cast("long")), (lambda c: F.coalesce(c, F.lit(0.0)))
+    last = lambda c: F.when(F.col("is_last"), c).otherwise(0)
+    whole = {
+        "b": length("then_in") + last(length("then_back")), "b_lost": gone("then_in") + last(gone("then_back")),
+        "u": length("now_in") + last(length("now_out")), "u_lost": gone("now_in") + last(gone("now_out")),
+    }
+    p = p.withColumns({k: F.sum(c).over(whole_order()) for k, c in whole.items()})
+    all_orders = F.when(first, F.array(F.expr("named_struct('swap', cast(null as struct<sku_a:string,sku_b:string>), 'home_a', cast(null as string), 'home_b', cast(null as string))"))).otherwise(F.expr("array()"))
+    p = p.join(by_sku, "sku", "left").withColumn("x", F.explode(F.concat(all_orders, F.coalesce("swaps", F.expr("array()"))))).select("*", "x.*").drop("x", "swaps")
+    one, two = F.col("swap.sku_a"), F.col("swap.sku_b")
+    new = lambda sku, old: F.when(F.col(sku) == one, F.col("home_b")).when(F.col(sku) == two, F.col("home_a")).otherwise(F.col(old))
+    p = p.withColumns({"to": new("sku", "now"), "to_before": new("sku_before", "now_before"), "next_moves": F.coalesce(F.col("sku_next").isin(one, two), F.lit(False))})
+    p = d.add(p, "new_in", F.col("to_before"), F.col("to"), known("to"))
+    p = d.add(p, "new_out", F.col("to"), F.col("now_next"), known("to"))
+    behind = lambda c: F.when(F.col("next_moves"), 0).otherwise(c)
+    longer = length("new_in") - length("now_in") + behind(length("new_out") - length("now_out"))
+    more_lost = gone("new_in") - gone("now_in") + behind(gone("new_out") - gone("now_out"))
+    keep = [F.first(c).alias(c) for c in whole]
+    per = p.groupBy("order_id", "swap").agg(*keep, F.sum(F.when(known("swap"), longer).otherwise(0.0)).alias("longer"), F.sum(F.when(known("swap"), more_lost).otherwise(0)).alias("more_lost"))
+    based = F.col("b_lost") == 0
+    old, fresh = based & (F.col("u_lost") == 0), based & (F.col("u_lost") + F.col("more_lost") == 0)
+    s = F.col("u") + F.col("longer")
+    z = lambda ok, c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
+    sums = per.groupBy("swap").agg(
+        F.count_if(old).alias("n_old"), F.count_if(fresh).alias("n_new"), F.count_if(old & (F.abs(F.col("u") - F.col("b")) > CHANGED)).alias("moved_old"), F.count_if(fresh & (F.abs(s - F.col("b")) > CHANGED)).alias("moved_new"),
+        z(old, F.col("b")).alias("b_old"), z(fresh, F.col("b")).alias("b_new"), z(old, F.col("u")).alias("u_old"), z(fresh, s).alias("s_new"),
     )
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    out = ends.select("sku_a", "sku_b", "swap").join(per, "swap", "left").crossJoin(F.broadcast(whole))  # one row
+    sums = checkpoint(sums)  # a row per swap and one for all orders
+    names = ["n_old", "moved_old", "b_old", "u_old"]
+    every = sums.where("swap is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"all_{c}") for c in names])
+    out = ends.select("sku_a", "sku_b", "swap").join(sums, "swap", "left").crossJoin(F.broadcast(every))  # one row
+    rest = lambda kind, new_name: F.col(f"all_{kind}_old") - F.coalesce(f"{kind}_old", F.lit(0)) + F.coalesce(new_name, F.lit(0))
     out = out.select(
-        "sku_a", "sku_b", (F.col("n") - z("n_old") + z("n_new")).alias("comparable_orders"), (F.col("moved") - z("moved_old") + z("moved_new")).alias("affected_orders"),
-        (z("b") - z("b_old") + z("b_new")).cast("double").alias("baseline_m"), (z("u") - z("s_old") + z("s_new")).cast("double").alias("scenario_m"),
+        "sku_a", "sku_b", rest("n", "n_new").alias("comparable_orders"), rest("moved", "moved_new").alias("affected_orders"),
+        rest("b", "b_new").cast("double").alias("baseline_m"), rest("u", "s_new").cast("double").alias("scenario_m"),
     )
     return _reduction(out)
 
 
-def recommend(bundle: Bundle, base: Routing | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame]:
+def recommend(bundle: Bundle, top: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): ranked swaps with ids SWAP-001 ..., and every other candidate with the reason it fell."""
     spark = bundle.spark
-    base = base or build(bundle)
     checked = checkpoint(check_swaps(bundle, candidates(bundle)))
     ok = checked.where("status = 'ok'")
-    replayed = replay_swaps(bundle, ok.select("sku_a", "sku_b"), base)
+    replayed = replay_swaps(bundle, ok.select("sku_a", "sku_b"))
     scored = checkpoint(ok.join(replayed, ["sku_a", "sku_b"]))
     least = bundle.get("minimum_improvement_percent") or 0.0
     top = bundle.get("maximum_recommendations") if top is None else top

@@ -47,8 +47,7 @@ def thresholds(bundle: Bundle) -> dict:
 
 def analyse(bundle: Bundle, *, slots: bool = True) -> Analysis:
     report = quality.validate(bundle)
-    routing = report.routing or routes.build(bundle)
-    routing = routes.Routing(routing.orders.cache(), routing.legs.cache())
+    routing = report.routing or routes.build(bundle).cached()
     tables = {
         "flow": metrics.flow_metrics(bundle, routing), "locations": metrics.location_metrics(bundle, routing), "skus": metrics.sku_metrics(bundle, routing),
         "edges": metrics.edge_flows(bundle, routing), "zones": metrics.zone_flows(bundle, routing), "top_orders": metrics.top_orders(routing, bundle.get("spaghetti_top_orders")),
@@ -60,7 +59,7 @@ def analyse(bundle: Bundle, *, slots: bool = True) -> Analysis:
     tables["xyz"] = tables["xyz"].cache()
     tables["classes"] = classify.combined(tables["abc"], tables["xyz"])
     if slots and report.status != "data_error":
-        tables["accepted"], tables["rejected"] = (df.cache() for df in slotting.recommend(bundle, routing))
+        tables["accepted"], tables["rejected"] = (df.cache() for df in slotting.recommend(bundle))
     totals = tables["flow"].first().asDict() | metrics.data_quality(bundle, routing).first().asDict()
     out = Analysis(bundle, report, routing, tables, totals, facts)
     _grade(out)

@@ -136,7 +136,7 @@ class Service:
         out = {"dataset_id": dataset_id, "status": report.status, "measure": "estimated reduction of the modelled pick distance", "recommendations": []}
         if report.status == "data_error":
             return out | {"issues": reports.head(report.issues.where("severity = 'error'").drop("rule"), 10_000)}
-        accepted, rejected = slotting.recommend(b, report.routing, top)
+        accepted, rejected = slotting.recommend(b, top)
         return out | {"recommendations": reports.head(accepted, top), "rejected_candidates": reports.head(rejected, 10_000), "thresholds": analyse.thresholds(b)}
 
     def simulate(self, dataset_id: str, moves: list[dict]) -> dict:

@@ -95,9 +95,9 @@ def test_swap(spark, base, routing):
     assert t.reduction_percent == pytest.approx(16.6667, abs=1e-4)
     assert [r.order_id for r in orders.where("delta_m <> 0").collect()] == ["O2"]
     assert checks.first().status == "ok"
-    accepted, rejected = slotting.recommend(base, routing)
+    accepted, rejected = slotting.recommend(base)
     assert [(r.swap_id, r.sku_a, r.sku_b, r.reduction_m) for r in accepted.collect()] == [("SWAP-001", "S1", "S2", 20)]
-    assert slotting.recommend(base, routing, top=0)[0].count() == 0
+    assert slotting.recommend(base, top=0)[0].count() == 0
 
 
 def test_replay_of_many_equals_one_by_one(spark):
