@@ -44,17 +44,23 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
+def text_hash(text: str):
+    """__text_hash: tells rows with the same id apart; 0 for a null text."""
+    return F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("__text_hash")
+
+
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """Per row: doc_id, fp (the fingerprint's bits as a signed long)."""
+    """Per row: doc_id, __text_hash, fp (the fingerprint's bits as a signed long)."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            fp = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fp)], ["doc_id", "__text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return own.select("doc_id", text_hash("text"), "text").mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, __text_hash long, fp long")
 
 
 def tables(distance: int, blocks: int) -> list[int]:
@@ -128,36 +134,44 @@ def _signed(mask: int):
 def near_duplicates(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, blocks: int | None = None
 ) -> DataFrame:
-    """Per row: doc_id, fp, component_id (the smallest doc_id reachable over links, itself included)."""
+    """Per row: doc_id, __text_hash, fp, component_id (the smallest doc_id reachable over links, itself included), __root (the component)."""
     marked = stage(fingerprints(docs, doc_id, text, shingle), "simhash")
     classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
     roots = components(links(classes.select("fp"), distance=distance, blocks=blocks))
     owned = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     owned = stage(owned, "simhash-roots")
     heads = owned.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(owned.join(heads, "root").select("fp", "component_id"), "simhash-named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(owned.join(heads, "root").select("fp", "component_id", F.col("root").alias("__root")), "simhash-named")
+    return marked.join(named, "fp").select("doc_id", "__text_hash", "fp", "component_id", "__root")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id stays, all columns unchanged.
+    """docs without near-duplicates: of each component one row stays, all columns unchanged.
 
-    Of rows that repeat the kept doc_id one stays, the first by text; rows with a null doc_id stay.
+    That row has the component's smallest doc_id; of several such rows the one with the smallest text hash, and of rows
+    equal in both, one. Rows that share an id but not a component are judged each on its own; rows with a null doc_id stay.
     """
     return keep_smallest(docs, near_duplicates(docs, **options), options.get("doc_id", "doc_id"), options.get("text", "text"))
 
 
 def keep_smallest(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """keep_one() for components found as (doc_id, component_id)."""
-    marked = stage(found.select("doc_id", "component_id"), "near-kept")
-    gone = marked.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    own = F.col(f"d.`{doc_id}`")  # docs may have columns of any name
-    left = docs.alias("d").join(gone.alias("x"), own == F.col("x.__gone"), "left_anti")
-    twice = stage(marked.groupBy("doc_id").count().where("doc_id is not null and count > 1").select(F.col("doc_id").alias("__twice")), "simhash-twice")
-    if twice.isEmpty():
+    """keep_one() for components found as (doc_id, __text_hash, component_id, __root); ids that repeat may name several.
+
+    Equal texts are in one component, so (doc_id, text hash) tells rows apart that have different fates.
+    """
+    marked = found.where("doc_id is not null").groupBy("__root", "component_id", "doc_id", "__text_hash").count()
+    marked = stage(marked, "near-marked")
+    firsts = marked.where("doc_id = component_id").groupBy("__root").agg(F.min("__text_hash").alias("least"))
+    judged = marked.join(firsts, "__root").withColumn("stays", (F.col("doc_id") == F.col("component_id")) & (F.col("__text_hash") == F.col("least")))
+    judged = stage(judged.select(F.col("doc_id").alias("__doc_id"), "__text_hash", "stays", "count"), "near-kept")
+    own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  docs may have columns of any name
+    same = (own(doc_id) == F.col("x.__doc_id")) & (F.coalesce(F.xxhash64(own(text)), F.lit(0)) == F.col("x.__text_hash"))
+    left = docs.alias("d").join(judged.where("not stays").alias("x"), same, "left_anti")
+    again = judged.where("stays and count > 1")
+    if again.isEmpty():
         return left
-    again = own == F.col("x.__twice")
-    once = left.alias("d").join(twice.alias("x"), again, "left_anti")
-    both = left.alias("d").join(twice.alias("x"), again, "left_semi").select(F.struct(*docs.columns).alias("row"))
-    firsts = both.groupBy(F.col("row")[doc_id]).agg(F.min_by("row", F.coalesce(F.col("row")[text], F.lit(""))).alias("row"))
-    return once.unionByName(firsts.select("row.*"))
+    once = left.alias("d").join(again.alias("x"), same, "left_anti")
+    names = [f"`{c}`" for c in docs.columns]
+    both = left.alias("d").join(again.alias("x"), same, "left_semi").select(F.col(f"`{doc_id}`").alias("__doc_id"), F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)).alias("__text_hash"), F.struct(*names).alias("__row"))
+    one = both.groupBy("__doc_id", "__text_hash").agg(F.first("__row").alias("__row"))
+    return once.unionByName(one.select(*[F.col(f"__row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)]))
