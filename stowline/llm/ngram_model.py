@@ -4,8 +4,6 @@ A gram is `ORDER` code points in one 64-bit integer, 16 bits each (code points b
 task counts its own texts in bounded memory, Spark adds the counts up; continuation counts, discounts, context
 totals and probabilities are DataFrame aggregates and joins over the distinct grams. store() keeps every counted gram:
 its arrays are dealt by hash into files of the shared folder, and workers look their texts' grams up file by file.
-fit() gathers a bounded model: of each order only grams with at least 1/`most` of the order's total count stay, so that
-at most `most` can stay, and the mass of the others goes to their contexts' back-off weights.
 """
 
 from __future__ import annotations
@@ -21,7 +19,6 @@ from .common import new_dir, open_fs, stage
 
 ORDER = 4
 _START, _END = 2, 3
-_MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd multiplier that spreads the keys
 
 
 def codes(text: str) -> np.ndarray:
@@ -54,98 +51,34 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return uniq, np.bincount(back, weights=counts, minlength=len(uniq)).astype(np.int64)
 
 
-def count_grams(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
-    """(lang, gram, n) over all texts; a null language is 'und', a null text is left out."""
+def count_grams(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(gram, n) over all texts; a null text is left out."""
 
     def run(batches):
         import pyarrow as pa
 
-        held: dict[str, list] = {}
+        held: list = []
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for name, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(t)
-            for name, texts in by.items():
-                at, size = 0, 0
-                for i, t in enumerate(texts):
-                    size += len(t)
-                    if size > 1_000_000 or i + 1 == len(texts):
-                        g, _, _ = joined(texts[at : i + 1])
-                        k, n = np.unique(g, return_counts=True)
-                        own = held.setdefault(name, [])
-                        own.append((k, n))
-                        if len(own) > 8:
-                            held[name] = [_merge(own)]
-                        at, size = i + 1, 0
-        for name, own in held.items():
-            k, n = _merge(own)
+            texts, at, size = batch.column(0).to_pylist(), 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size > 1_000_000 or i + 1 == len(texts):
+                    held.append(np.unique(joined(texts[at : i + 1])[0], return_counts=True))
+                    if len(held) > 8:
+                        held = [_merge(held)]
+                    at, size = i + 1, 0
+        if held:
+            k, n = _merge(held)
             for a in range(0, len(k), 100_000):
-                key = k[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(key)), pa.array(key.view(np.int64)), pa.array(n[a : a + 100_000])], ["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[a : a + 100_000].view(np.int64)), pa.array(n[a : a + 100_000])], ["gram", "n"])
 
-    picked = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class NgramModel:
-    """Log probabilities and back-off weights by order, each under sorted keys."""
-
-    seeds: dict[str, int]
-    probs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # order 1, 2, ...
-    backs: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # contexts of length 0, 1, ...
-    floor: float = -20.0
-
-    def log_probs(self, lang: str, g: np.ndarray) -> np.ndarray:
-        """log p of each gram's last code, given those before it."""
-        seed = np.uint64(self.seeds.get(lang, 0))
-        out, todo = np.zeros(len(g)), np.arange(len(g))
-        for k in range(ORDER, 0, -1):
-            own = g[todo] if k == ORDER else g[todo] & np.uint64((1 << 16 * k) - 1)
-            found, value = _look(self.probs[k - 1], seed, own)
-            out[todo[found]] += value[found]
-            todo, own = todo[~found], own[~found]
-            if not len(todo):
-                return out
-            known, weight = _look(self.backs[k - 1], seed, own >> np.uint64(16))
-            out[todo[known]] += weight[known]
-        out[todo] += self.floor  # codes or languages never seen
-        return out
-
-
-def _hash(keys: np.ndarray, seed: np.uint64) -> np.ndarray:
-    return (keys ^ seed) * _MIX
-
-
-def _look(arrays: tuple[np.ndarray, np.ndarray], seed: np.uint64, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes, values = arrays
-    if not len(hashes):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
-    h = _hash(keys, seed)
-    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    return hashes[at] == h, values[at]
-
-
-def _seed(lang: str) -> int:
-    import hashlib
-
-    return int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little")
-
-
-def _arrays(df: DataFrame, seeds: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    got = df.select("lang", "key", "value").toArrow()
-    langs = got.column("lang").to_pylist()
-    for name in set(langs):
-        seeds.setdefault(name, _seed(name))
-    seed = np.array([seeds[x] for x in langs], dtype=np.uint64)
-    h = _hash(got.column("key").to_numpy().astype(np.int64).view(np.uint64), seed) if langs else np.zeros(0, np.uint64)
-    order = np.argsort(h)
-    return h[order], got.column("value").to_numpy().astype(np.float32)[order] if langs else np.zeros(0, np.float32)
+    picked = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").alias("text"))
+    return picked.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class StoredModel:
-    """Every gram of one language's model: per order a folder of files, a gram's file given by its hash's first bits."""
+    """Every gram of the model: per order a folder of files, a gram's file given by its hash's first bits."""
 
     probs: list[tuple[str, int]] = field(default_factory=list)  # (folder, bits) of order 1, 2, ...
     backs: list[tuple[str, int]] = field(default_factory=list)  # contexts of length 0, 1, ...
@@ -231,52 +164,38 @@ def _files(df: DataFrame) -> tuple[str, int]:
 def store(docs: DataFrame, *, text: str = "text") -> StoredModel:
     """Count all texts as one language and estimate the model with all grams."""
     model = StoredModel()
-    for probs, backs in _estimate(docs.select(F.lit("").alias("lang"), F.col(text).alias("text")), "lang", "text", None):
+    for probs, backs in _estimate(docs, text):
         model.probs.append(_files(probs))
         model.backs.append(_files(backs))
     return model
 
 
-def fit(docs: DataFrame, *, lang: str = "lang", text: str = "text", most: int = 1 << 19) -> NgramModel:
-    """Count all texts and estimate the model, one per language, under one set of arrays."""
-    model = NgramModel({})
-    for probs, backs in _estimate(docs, lang, text, most):
-        model.probs.append(_arrays(probs, model.seeds))
-        model.backs.append(_arrays(backs, model.seeds))
-    return model
-
-
-def _estimate(docs: DataFrame, lang: str, text: str, most: int | None):
-    """Per order from 1 up: (log probabilities, log back-off weights) as (lang, key, value); with `most` None of all grams."""
-    tables = {ORDER: stage(count_grams(docs, lang, text), "grams")}
+def _estimate(docs: DataFrame, text: str):
+    """Per order from 1 up: (log probabilities, log back-off weights) as (key, value), of all grams."""
+    tables = {ORDER: stage(count_grams(docs, text), "grams")}
     for k in range(ORDER - 1, 0, -1):  # continuation counts: distinct grams one longer that end alike
         mask = F.lit((1 << 16 * k) - 1)
-        tables[k] = stage(tables[k + 1].groupBy("lang", F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("n")), "grams")
+        tables[k] = stage(tables[k + 1].groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.count("*").alias("n")), "grams")
     lower = None
     for k in range(1, ORDER + 1):
         t = tables[k].withColumn("ctx", F.shiftrightunsigned("gram", 16))
-        of = lambda i: F.sum((F.col("n") == i).cast("double"))  # noqa: B023, E731
-        d = t.groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("distinct"))
+        of = lambda i: F.sum((F.col("n") == i).cast("double"))
+        d = t.agg(*(of(i).alias(f"n{i}") for i in (1, 2, 3, 4)), F.count("*").alias("distinct"))
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         usable = F.col("n1") * F.col("n2") * F.col("n3") * F.col("n4") > 0
         ratio = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))  # noqa: B023, E731
         # fixed fall-back discounts where a count of counts is zero
-        d = d.select("lang", "distinct", *(F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), ratio(i)))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)))
-        total = (t.agg(F.sum("n")).first()[0] or 0) if most else 0
-        frequent = lambda n: F.col(n).cast("double") * most >= F.lit(float(total)) if most else F.lit(True)  # noqa: B023, E731
+        d = d.select("distinct", *(F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), ratio(i)))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)))
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.join(F.broadcast(d) if d.count() <= 10_000 else d, "lang").withColumn("own", F.col("n") - cut)
-        t = t.withColumn("stays", frequent("n"))
-        contexts = t.groupBy("lang", "ctx").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("stays"), F.col("own")).otherwise(0.0)).alias("given"))
-        contexts = stage(contexts.select("lang", "ctx", "all", (1.0 - F.col("given") / F.col("all")).alias("rest")), "contexts")
-        kept = t.where("stays").join(contexts, ["lang", "ctx"])
+        t = t.crossJoin(F.broadcast(d)).withColumn("own", F.col("n") - cut)  # one row
+        contexts = t.groupBy("ctx").agg(F.sum("n").alias("all"), F.sum("own").alias("given"))
+        contexts = stage(contexts.select("ctx", "all", (1.0 - F.col("given") / F.col("all")).alias("rest")), "contexts")
+        kept = t.join(contexts, "ctx")
         if lower is None:
             base = F.lit(1.0) / (F.col("distinct") + 1)
-        else:
+        else:  # the suffix of a counted gram is counted in its own order
             kept = kept.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)))
-            kept = kept.join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("pl")), ["lang", "tail"], "left")
-            # with `most`, a suffix is at least as frequent in its order only by rule of thumb; where it was left out its share is what its order gives the rest
-            base = F.coalesce("pl", F.lit(1e-9))
-        lower = stage(kept.select("lang", "gram", (F.col("own") / F.col("all") + F.col("rest") * base).alias("p")), "probabilities")
-        wide = contexts.where(frequent("all"))
-        yield lower.select("lang", F.col("gram").alias("key"), F.log("p").alias("value")), wide.select("lang", F.col("ctx").alias("key"), F.log(F.greatest("rest", F.lit(1e-9))).alias("value"))
+            kept = kept.join(lower.select(F.col("gram").alias("tail"), F.col("p").alias("base")), "tail")
+            base = F.col("base")
+        lower = stage(kept.select("gram", (F.col("own") / F.col("all") + F.col("rest") * base).alias("p")), "probabilities")
+        yield lower.select(F.col("gram").alias("key"), F.log("p").alias("value")), contexts.select(F.col("ctx").alias("key"), F.log(F.greatest("rest", F.lit(1e-9))).alias("value"))
