@@ -5,7 +5,7 @@ fields and read as a wildcard. Under that leaf a template is the line's token se
 lines of at least `long_line` tokens the tree generalises further: the tokens behind the leading ones are cut into
 `parts` runs, and each run in turn may be a variable field, so that lines of one leaf which differ within one run
 share a template. This is a rule of the line alone, so the templates do not depend on the order of lines, and
-counting them needs only sums.
+counting them needs only sums. A template is known by 128 bits, of which no two texts are known to agree.
 
 A template that occurs in at least `min_docs` documents recurs: its lines are dropped from every document but the
 first (the smallest doc_id), so that one instance of the text stays in the corpus.
@@ -30,9 +30,9 @@ _DIGIT = re.compile(r"\d")
 WILDCARD = "<*>"
 
 
-def templates(line: str, *, min_tokens: int = 3, depth: int = 2, long_line: int = 12, parts: int = 4) -> list[int]:
-    """The keys of the templates that a line falls under (signed 64-bit), none for short lines."""
-    from xxhash import xxh64_digest, xxh64_intdigest
+def templates(line: str, *, min_tokens: int = 3, depth: int = 2, long_line: int = 12, parts: int = 4) -> list[bytes]:
+    """The keys of the templates that a line falls under (16 bytes), none for short lines."""
+    from xxhash import xxh3_128_digest
 
     tokens = line.split()
     n = len(tokens)
@@ -42,14 +42,14 @@ def templates(line: str, *, min_tokens: int = 3, depth: int = 2, long_line: int
         masked = [WILDCARD if _DIGIT.search(t) else t for t in tokens]
         if 2 * masked.count(WILDCARD) <= n:  # else there is too little left to tell a template
             tokens = masked
-    keys = [xxh64_intdigest(" ".join(tokens), n)]
+    keys = [xxh3_128_digest(" ".join(tokens), n)]
     if n >= long_line:
-        head = xxh64_digest(" ".join(tokens[:depth]), n)
+        head = xxh3_128_digest(" ".join(tokens[:depth]), n)
         cuts = [depth + (n - depth) * k // parts for k in range(parts + 1)]
-        runs = [xxh64_digest(" ".join(tokens[a:b]), k) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        runs = [xxh3_128_digest(" ".join(tokens[a:b]), k) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
         for k in range(parts):
-            keys.append(xxh64_intdigest(head + b"".join(runs[:k]) + b"*" + b"".join(runs[k + 1 :]), n))
-    return [k - (1 << 64) if k >> 63 else k for k in keys]
+            keys.append(xxh3_128_digest(head + b"".join(runs[:k]) + b"*" + b"".join(runs[k + 1 :]), n))
+    return keys
 
 
 def line_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **shape) -> DataFrame:
@@ -58,11 +58,12 @@ def line_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     def run(batches):
         import pyarrow as pa
 
-        form = pa.schema([("doc_id", pa.int64()), ("__text_hash", pa.int64()), ("line", pa.int32()), ("key", pa.int64()), ("once", pa.int32())])
+        form = None
         for batch in batches:
+            form = form or pa.schema([("doc_id", batch.schema.field(0).type), ("__text_hash", pa.int64()), ("line", pa.int32()), ("key", pa.binary()), ("once", pa.int32())])
             out: list[list] = [[], [], [], [], []]
             for d, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen: set[int] = set()
+                seen: set[bytes] = set()
                 for i, line in enumerate(t.split("\n")):
                     for k in templates(line, **shape):
                         for column, value in zip(out, (d, h, i, k, int(k not in seen)), strict=True):
@@ -73,8 +74,9 @@ def line_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                     out = [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, form, strict=True)], schema=form)
 
-    picked = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("__text_hash"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, __text_hash long, line int, key long, once int")
+    col = lambda c: F.col(f"`{c}`")  # noqa: E731  docs may have columns of any name
+    picked = docs.where(col(text).isNotNull()).select(col(doc_id).alias("doc_id"), F.xxhash64(col(text)).alias("__text_hash"), col(text).alias("text"))
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, __text_hash long, line int, key binary, once int")
 
 
 def recurring_lines(docs: DataFrame, *, min_docs: int = 2, **options) -> DataFrame:
@@ -91,7 +93,7 @@ def drop_recurring(docs: DataFrame, *, length: str = "n_chars", **options) -> Da
     doc_id, text = options.get("doc_id", "doc_id"), options.get("text", "text")
     drop = recurring_lines(docs, **options).toDF("__doc_id", "__text_hash", "__lines")
     own = lambda c: F.col(f"d.`{c}`")  # noqa: E731  docs may have columns of any name
-    same = own(doc_id).cast("long").eqNullSafe(F.col("x.__doc_id")) & (F.xxhash64(own(text)) == F.col("x.__text_hash"))
+    same = own(doc_id).eqNullSafe(F.col("x.__doc_id")) & (F.xxhash64(own(text)) == F.col("x.__text_hash"))
     cut = F.col("x.__lines").isNotNull()
     new = F.array_join(F.filter(F.split(own(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("x.__lines"), i)), "\n")
     changed = {text: new}
