@@ -7,7 +7,9 @@ named by attempt; only those in the committed manifest are read.
 Reader: a task gets a byte range of a file. It looks for the gzip magic from the range's start, takes a place
 for a member only if what it decodes to begins like a WARC record and its checksum holds, and owns the records
 that start inside its range, reading on past the end for the last one. So any split of a file gives each
-record once.
+record once. Members follow each other without a gap: from the first one on, and from the file's start, a task requires
+that each ends where the next begins, looks at the head of the first member behind its range, and fails with file and
+offset otherwise, so that no damaged record goes missing.
 
 Defined cases: a null html is the empty payload; a null page_id is written as such, is never referred to and
 never refers to itself; rows that repeat the smallest page_id of a payload are all responses; urls are kept with
@@ -95,10 +97,18 @@ def write_archives(
     return stage(rows.mapInArrow(run, "file string, size long"), "warc-manifest")
 
 
-def members(uri: str, start: int, end: int, step: int = 1 << 20):
-    """(offset, bytes) of each WARC record whose gzip member starts in [start, end) of the file."""
+class DamagedArchive(ValueError):
+    """A place in an archive where a record should begin, or does, but cannot be read."""
+
+
+def members(uri: str, start: int, end: int, step: int = 1 << 20, strict: bool = False):
+    """(offset, bytes) of each WARC record whose gzip member starts in [start, end) of the file.
+
+    strict: bytes that belong to no readable record raise DamagedArchive instead of being passed over.
+    """
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
+        size = f.size()
         f.seek(start)
         base, data, at = start, f.read(end - start + 2), 0  # two more bytes: a magic may straddle the end
 
@@ -109,29 +119,46 @@ def members(uri: str, start: int, end: int, step: int = 1 << 20):
             data += new
             return bool(new)
 
-        while True:
-            at = data.find(_MAGIC, at)
-            if at < 0 or base + at >= end:
-                return
-            unpacker, out, fed = zlib.decompressobj(31), [], at
+        def opened(at: int):
+            """(unpacker, first bytes, place behind what was fed) of a record's member at a place, else None."""
+            unpacker, first, fed = zlib.decompressobj(31), b"", at
             try:
-                first = b""
                 while not unpacker.eof and len(first) < 7 and (fed < len(data) or more()):
                     first += unpacker.decompress(data[fed : fed + 512])
                     fed = min(fed + 512, len(data))
-                if not first.startswith(b"WARC/1."):
-                    raise zlib.error("no record")
-                out.append(first)
+            except zlib.error:
+                return None
+            return (unpacker, first, fed) if first.startswith(b"WARC/1.") else None
+
+        due = strict and start == 0  # a record must begin right here
+        while True:
+            found = at if due else data.find(_MAGIC, at)
+            if found < 0 or base + found >= end:
+                if due and base + at < size and opened(at) is None:
+                    raise DamagedArchive(f"{uri}: no record at byte {base + at}")
+                return
+            at = found
+            member = opened(at)
+            if member is None:
+                if due:
+                    raise DamagedArchive(f"{uri}: no record at byte {base + at}")
+                at += 1
+                continue
+            unpacker, first, fed = member
+            out = [first]
+            try:
                 while not unpacker.eof:
                     if fed >= len(data) and not more():
                         raise zlib.error("cut off")
                     out.append(unpacker.decompress(data[fed : fed + (1 << 16)]))  # in steps: what is left over is copied
                     fed = min(fed + (1 << 16), len(data))
-            except zlib.error:
+            except zlib.error as e:
+                if strict:
+                    raise DamagedArchive(f"{uri}: the record at byte {base + at} cannot be read: {e}") from e
                 at += 1
                 continue
             yield base + at, b"".join(out)
-            at = fed - len(unpacker.unused_data)
+            at, due = fed - len(unpacker.unused_data), strict
 
 
 def parse(raw: bytes) -> dict:
@@ -153,9 +180,12 @@ def parse(raw: bytes) -> dict:
 
 
 def read_archives(manifest: DataFrame, *, split_bytes: int = 4 << 20, payloads: bool = False) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload]."""
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to[, url, payload].
+
+    A file that is shorter or longer than the manifest says, or holds bytes that are no record, fails the read.
+    """
     ranges = manifest.where("size > 0").select("file", F.col("size").alias("total"), F.explode(F.expr(f"sequence(0L, size - 1, {split_bytes}L)")).alias("start"))
-    ranges = ranges.select("file", "start", F.least(F.col("start") + split_bytes, "total").alias("stop"))
+    ranges = ranges.select("file", "start", F.least(F.col("start") + split_bytes, "total").alias("stop"), "total")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["url", "payload"] * payloads]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", url string, payload binary" * payloads
 
@@ -165,9 +195,12 @@ def read_archives(manifest: DataFrame, *, split_bytes: int = 4 << 20, payloads:
         kinds = {"payload_digest": pa.string(), "record_type": pa.string(), "url": pa.string(), "payload": pa.binary()}
         form = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
         for batch in batches:
-            for uri, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for uri, start, stop, total in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fs, path = open_fs(uri)
+                if (size := fs.get_file_info(path).size) != total:
+                    raise DamagedArchive(f"{uri}: {size} bytes, the manifest says {total}")
                 rows, held = [], 0
-                for _, raw in members(uri, start, stop):
+                for _, raw in members(uri, start, stop, strict=True):
                     row = parse(raw)
                     rows.append({n: row[n] for n in names})
                     held += len(raw)
