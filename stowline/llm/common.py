@@ -14,7 +14,10 @@ LOCAL_SHARED = "file:///tmp/checkpoints/stowline"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or LOCAL_SHARED).rstrip("/")
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -47,12 +50,6 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        delete(df.sparkSession, f)
-
-
 def open_fs(uri: str):
     """(filesystem, path) for a Hadoop-style URI, usable on executors without Spark."""
     from pyarrow import fs

@@ -123,8 +123,6 @@ class PieceCoder:
                 score = best[at] + self.scores[piece]
                 if start[end] < 0 or score > best[end]:
                     best[end], start[end], last[end] = score, at, piece
-                if length == 1 and start[end] < 0:
-                    start[end] = at
             elif start[end] < 0 and (at == 0 or last[at] >= 0 or last[at] == -2) and self._fits(max(last[at], -1), piece):
                 start[end], last[end] = at, piece
         while done < n:
@@ -167,7 +165,11 @@ class PieceCoder:
             return b""
         text = self.prefix + text.replace(" ", SPACE) if self.plain else self.library.normalize(text)
         get, value = self.young.get, self._value
-        return b"".join([get(u) or value(u) for u in self.units.findall(text)])
+        out = b"".join([get(u) or value(u) for u in self.units.findall(text)])
+        if self.byte_ids:
+            return out
+        ids = np.frombuffer(out, dtype="<i4")  # a run of unknown characters is one unknown piece
+        return ids[~((ids == self.unknown) & np.r_[False, ids[:-1] == self.unknown])].tobytes() if len(ids) else out
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
