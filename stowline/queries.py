@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,13 +262,21 @@ def dup_pick_sequence(spark, d):
 
 @_query("SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def dup_ids(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies")).where("copies > 1")
+    """Picks named by order and line number only: rule DUPLICATE_PICK_ID."""
+    b = _star(spark, d)
+    b = replace(b, picks=b.picks.withColumn("pick_id", F.concat_ws("-", F.split("pick_id", "-")[0], "l_linenumber")))
+    named = quality.issues(b).where("code = 'DUPLICATE_PICK_ID'").select(F.get("affected", F.lit(0)).alias("pick_id"))
+    part = lambda k: F.split("pick_id", "-")[k].cast("long")
+    return b.picks.join(named, "pick_id").groupBy(part(0).alias("l_orderkey"), part(1).cast("int").alias("l_linenumber")).agg(F.count("*").alias("copies"))
 
 
 @_query("SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 3)")
 def dangling_refs(spark, d):
-    known = spark.read.parquet(f"{d}/supplier.parquet").where("s_suppkey % 10 <> 3")
-    return spark.read.parquet(f"{d}/lineitem.parquet").join(known, F.col("l_suppkey") == F.col("s_suppkey"), "left_anti").select("l_suppkey").distinct()
+    """A tenth of the items taken out: rule UNKNOWN_SKU on picks."""
+    b = _star(spark, d)
+    b = replace(b, items=b.items.where("cast(substring(sku, 2) as long) % 10 <> 3"))
+    lost = quality.issues(b).where("code = 'UNKNOWN_SKU' and field = 'picks.sku'").select(F.get("affected", F.lit(0)).alias("pick_id"))
+    return b.picks.join(lost, "pick_id").select(F.substring("sku", 2, 9).cast("long").alias("l_suppkey")).distinct()
 
 
 _CONFLICTS = {
@@ -287,7 +295,12 @@ def assignment_conflicts(spark, d):
 
 @_query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) > 1")
 def multiple_assignments(spark, d):
-    return spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("suppliers")).where("suppliers > 1")
+    """Each order as an item assigned to its suppliers' locations: rule MULTIPLE_PICK_ASSIGNMENTS."""
+    b = _star(spark, d)
+    homes = b.picks.select(F.col("order_id").cast("long").cast("string").alias("sku"), F.substring("sku", 2, 9).alias("location_id")).distinct()
+    b = replace(b, assignments=homes.selectExpr("sku", "location_id", "'pick' AS role", "1 AS current_units", "1 AS max_units", "0L AS ordinal"))
+    several = quality.issues(b).where("code = 'MULTIPLE_PICK_ASSIGNMENTS'").select(F.get("affected", F.lit(0)).alias("sku"))
+    return homes.join(several, "sku").groupBy(F.col("sku").cast("long").alias("l_orderkey")).agg(F.count("*").alias("suppliers"))
 
 
 _G = "CASE WHEN {0} THEN 1 WHEN {1} THEN 2 ELSE 0 END"
@@ -337,39 +350,51 @@ def constraint_checks(spark, d):
 
 
 _MOST = {"maximum_candidate_swaps": DEFAULTS["maximum_candidate_swaps"]}
-
-
-@_query()
+#: Every candidate swap replayed in full: all orders that hold a swapped item are walked again; a node is at 0 from itself in any mode.
+_REPLAYED = _CAND.replace("LIMIT 200", f"LIMIT {_MOST['maximum_candidate_swaps']}") + f""", walk AS (SELECT src, mode, node, d FROM dist UNION ALL SELECT node_id, 'tugger', node_id, 0.0 FROM nodes),
+ able AS (SELECT order_id, COALESCE(min(mode), 'pedestrian') AS mode FROM picks GROUP BY order_id HAVING NOT bool_or(pick_sequence IS NULL) AND count(DISTINCT mode) <= 1),
+ line AS (SELECT p.order_id, a.mode, p.pick_sequence, p.pick_id, p.sku, there.access_node_id AS recorded, own.access_node_id AS assigned FROM picks p JOIN able a USING (order_id) JOIN places there ON there.location_id = p.location_id JOIN places own ON own.sku = p.sku),
+ touched AS (SELECT DISTINCT c.sku_a, c.sku_b, l.order_id FROM cand c JOIN line l ON l.sku = c.sku_a UNION SELECT DISTINCT c.sku_a, c.sku_b, l.order_id FROM cand c JOIN line l ON l.sku = c.sku_b),
+ stop AS (SELECT 'recorded' AS kind, '' AS sku_a, '' AS sku_b, order_id, mode, pick_sequence, pick_id, recorded AS node FROM line UNION ALL SELECT 'assigned', '', '', order_id, mode, pick_sequence, pick_id, assigned FROM line
+  UNION ALL SELECT 'swapped', t.sku_a, t.sku_b, l.order_id, mode, pick_sequence, pick_id, CASE l.sku WHEN t.sku_a THEN y.access_node_id WHEN t.sku_b THEN x.access_node_id ELSE assigned END FROM touched t JOIN line l USING (order_id) JOIN places x ON x.sku = t.sku_a JOIN places y ON y.sku = t.sku_b),
+ hop AS (SELECT kind, sku_a, sku_b, order_id, mode, lag(node, 1, '{_END}') OVER w AS before, node, lead(1) OVER w IS NULL AS is_last FROM stop WINDOW w AS (PARTITION BY kind, sku_a, sku_b, order_id ORDER BY pick_sequence, pick_id)),
+ long AS (SELECT kind, sku_a, sku_b, order_id, CASE WHEN count(*) = count(one.d) AND count(*) FILTER (is_last AND two.d IS NULL) = 0 THEN sum(one.d) + sum(two.d) END AS m
+  FROM hop LEFT JOIN walk one ON one.src = before AND one.mode = hop.mode AND one.node = hop.node LEFT JOIN walk two ON is_last AND two.src = hop.node AND two.mode = hop.mode AND two.node = '{_END}' GROUP BY ALL),
+ met AS (SELECT c.sku_a, c.sku_b, b.m AS before, CASE WHEN s.order_id IS NULL THEN a.m ELSE s.m END AS after FROM long b JOIN long a ON b.kind = 'recorded' AND a.kind = 'assigned' AND a.order_id = b.order_id CROSS JOIN cand c
+  LEFT JOIN long s ON s.kind = 'swapped' AND s.sku_a = c.sku_a AND s.sku_b = c.sku_b AND s.order_id = b.order_id),
+ replayed AS (SELECT sku_a, sku_b, count(*) AS comparable_orders, count(*) FILTER (abs(after - before) > 1e-9) AS affected_orders, sum(before) AS baseline_m, sum(after) AS scenario_m, sum(before) - sum(after) AS reduction_m, 100.0 * (sum(before) - sum(after)) / sum(before) AS reduction_percent
+  FROM met WHERE before IS NOT NULL AND after IS NOT NULL GROUP BY ALL)"""
+
+
+@_query(_REPLAYED + " SELECT * FROM replayed")
 def swap_replay(spark, d):
-    """Every candidate up to the default limit; the SQL of swap_candidates and constraint_checks stays at its own."""
+    """Every candidate up to the default limit."""
     b = _star(spark, d, **_MOST)
     return slotting.replay_swaps(b, slotting.candidates(b).select("sku_a", "sku_b"))
 
 
-def _replay_sql(k: int) -> str:
-    """The scenario of swapping the k-th candidate, replayed in full."""
-    shift = f"""(SELECT p.* REPLACE (CASE p.sku WHEN c.sku_a THEN replace(c.sku_b, 'S', 'L') WHEN c.sku_b THEN replace(c.sku_a, 'S', 'L') ELSE replace(p.sku, 'S', 'L') END AS location_id) FROM picks p, one c)"""
-    cand = _CAND.removeprefix(_BASE)
-    again = re.sub(r"\b(heads|ord|seq|raw|legs|sums|routes|done)\b", r"\g<1>2", _LEGS).replace("FROM picks", "FROM moved")
-    return _BASE + cand + f", one AS (SELECT * FROM cand ORDER BY proxy DESC, sku_a, sku_b LIMIT 1 OFFSET {k}), moved AS {shift}" + _LEGS + again + """
- SELECT c.sku_a, c.sku_b, count(*) AS comparable_orders, count(*) FILTER (abs(b.total_distance_m - a.total_distance_m) > 1e-9) AS affected_orders, sum(a.total_distance_m) AS baseline_m, sum(b.total_distance_m) AS scenario_m,
- sum(a.total_distance_m) - sum(b.total_distance_m) AS reduction_m, 100.0 * (sum(a.total_distance_m) - sum(b.total_distance_m)) / sum(a.total_distance_m) AS reduction_percent
- FROM routes a JOIN routes2 b USING (order_id), one c WHERE a.reason IS NULL AND b.reason IS NULL GROUP BY ALL"""
+_GRADED = _check_sql(_REPLAYED).replace(" SELECT sku_a, sku_b, (", ", checked AS (SELECT sku_a, sku_b, (").rstrip() + ")"
+#: The ranked list, walked row by row: a swap stays if neither SKU was used by one that stayed.
+_JUDGED = _GRADED + f""", ranked AS (SELECT sku_a, sku_b, row_number() OVER (ORDER BY round(reduction_m, 3) DESC, sku_a, sku_b) AS n FROM checked JOIN replayed USING (sku_a, sku_b) WHERE status = 'ok' AND reduction_percent >= 0.001),
+ picked(n, used, taken, verdict) AS (SELECT CAST(0 AS bigint), CAST([] AS varchar[]), 0, '' UNION ALL
+  SELECT r.n, CASE WHEN list_has_any(p.used, [r.sku_a, r.sku_b]) THEN p.used ELSE list_concat(p.used, [r.sku_a, r.sku_b]) END, CASE WHEN list_has_any(p.used, [r.sku_a, r.sku_b]) THEN p.taken ELSE p.taken + 1 END,
+   CASE WHEN list_has_any(p.used, [r.sku_a, r.sku_b]) THEN 'superseded_by_higher_ranked_swap' WHEN p.taken < {DEFAULTS["maximum_recommendations"]} THEN 'accepted' ELSE 'beyond_maximum_recommendations' END
+  FROM picked p JOIN ranked r ON r.n = p.n + 1),
+ judged AS (SELECT c.*, CASE WHEN c.status <> 'ok' THEN c.status ELSE COALESCE(p.verdict, 'no_material_improvement') END AS verdict, p.taken FROM checked c LEFT JOIN ranked r USING (sku_a, sku_b) LEFT JOIN picked p ON p.n = r.n)"""
 
 
-@_query(_replay_sql(0))
-def swap_replay_first(spark, d):
-    b = _star(spark, d)
-    return slotting.replay_swaps(b, slotting.candidates(b, 1).select("sku_a", "sku_b"))
+def _listed(outcome: str) -> str:
+    return "list_aggregate([" + ", ".join(f"CASE WHEN check_{c} = '{outcome}' THEN '{c}' END" for c in constraints.CHECKS) + "], 'string_agg', '|')"
 
 
-@_query()
+@_query(_JUDGED + """ SELECT printf('SWAP-%03d', taken) AS swap_id, taken AS rank, sku_a, sku_b, replace(sku_a, 'S', 'L') AS location_a, replace(sku_b, 'S', 'L') AS location_b, proxy, comparable_orders, affected_orders, baseline_m, scenario_m, reduction_m, reduction_percent
+ FROM judged JOIN replayed USING (sku_a, sku_b) JOIN cand USING (sku_a, sku_b) WHERE verdict = 'accepted'""")
 def recommendations(spark, d):
     accepted, _ = slotting.recommend(_star(spark, d, **_MOST))
-    return slotting.lines_of(accepted)
+    return accepted.select("swap_id", "rank", "sku_a", "sku_b", "location_a", "location_b", "proxy", "comparable_orders", "affected_orders", "baseline_m", "scenario_m", "reduction_m", "reduction_percent")
 
 
-@_query()
+@_query(_JUDGED + f" SELECT sku_a, sku_b, verdict, CASE status WHEN 'constraint_violation' THEN {_listed('fail')} WHEN 'insufficient_constraint_data' THEN {_listed('insufficient_data')} ELSE '' END AS reasons FROM judged WHERE verdict <> 'accepted'")
 def rejected_swaps(spark, d):
     _, rejected = slotting.recommend(_star(spark, d, **_MOST))
     return slotting.lines_of(rejected)
@@ -388,12 +413,12 @@ def normalised_items(spark, d):
 
 @_query()
 def evidence_labels(spark, d):
-    return evidence.table(analyse.analyse(_star(spark, d), slots=False))
+    return evidence.table(analyse.analyse(_star(spark, d)))
 
 
 @_query()
 def findings(spark, d):
-    return analyse.findings_table(analyse.analyse(_star(spark, d), slots=False))
+    return analyse.findings_table(analyse.analyse(_star(spark, d)))
 
 
 @_query()
@@ -404,7 +429,67 @@ def svg_flow_map(spark, d):
     return spark.createDataFrame([(svg.flow_map(b, metrics.edge_flows(b, r)),)], "svg string")
 
 
-@_query()
+_STATUS = [(f"{c}", "error", f"SELECT 1 FROM places WHERE {w}") for c, w in _CONFLICTS.items()] + [
+    ("TEMPERATURE_INCOMPATIBLE", "error", "SELECT 1 FROM places WHERE false"), ("MIXED_ORDER_MODES", "error", "SELECT 1 FROM picks GROUP BY order_id HAVING count(DISTINCT mode) > 1"),
+    ("MISSING_PICK_SEQUENCE", "warning", "SELECT DISTINCT order_id FROM picks WHERE pick_sequence IS NULL"),
+    ("TIMESTAMP_OUTSIDE_PERIOD", "error", f"SELECT 1 FROM picks WHERE l_shipdate < TIMESTAMP '{starmap.PERIOD[0]}' OR l_shipdate > TIMESTAMP '{starmap.PERIOD[1]}'"),
+]
+
+
+@_query(_ITEMS + ", n AS (" + " UNION ALL ".join(f"SELECT '{c}' AS code, '{level}' AS severity, (SELECT count(*) FROM ({rows})) AS issues" for c, level, rows in _STATUS) + ") SELECT code, severity, issues, 'data_error' AS status FROM n WHERE issues > 0")
 def validation_status(spark, d):
     report = quality.validate(_star(spark, d))
     return report.issues.groupBy("code", "severity").agg(F.count("*").alias("issues")).withColumn("status", F.lit(report.status))
+
+
+_CUT = "n_nationkey NOT BETWEEN 5 AND 9"  # without the way from the second row of the grid to the third
+_ISLES = _BASE.replace("FROM nation WHERE n_nationkey < 20)", f"FROM nation WHERE n_nationkey < 20 AND {_CUT})")
+
+
+def _isles(spark, d):
+    b = _star(spark, d)
+    return replace(b, edges=b.edges.where("edge_id NOT BETWEEN 'V05' AND 'V09'"))
+
+
+@_query(_ISLES + ", near AS (SELECT u, v FROM arcs UNION SELECT v, u FROM arcs), grown(a, b) AS (SELECT node_id, node_id FROM nodes UNION SELECT a, v FROM grown JOIN near ON u = b) SELECT a AS node_id, min(b) AS component FROM grown GROUP BY a")
+def island_components(spark, d):
+    b = _isles(spark, d)
+    return network.components(b.nodes, b.edges)
+
+
+@_query(_ISLES + f" SELECT node_id FROM nodes WHERE node_id NOT IN (SELECT node FROM dist WHERE src = '{_END}' AND mode = 'forklift')")
+def island_unreachable_nodes(spark, d):
+    b = _isles(spark, d)
+    return network.unreachable(b.nodes, b.edges, _END, "forklift")
+
+
+@_query(_BASE + _PRED + """, walk(src, mode, dst, here, edge_id) AS (SELECT src, mode, node, x.u, x.e FROM pred UNION ALL SELECT w.src, w.mode, w.dst, p.x.u, p.x.e FROM walk w JOIN pred p ON p.src = w.src AND p.mode = w.mode AND p.node = w.here)"""
+ + _LEGS + " SELECT order_id, edge_id, count(*) AS traversals FROM legs JOIN walk k ON k.src = from_node AND k.mode = legs.mode AND k.dst = to_node GROUP BY ALL")
+def order_edges(spark, d):
+    return routes.order_edges(_routed(spark, d)[1])
+
+
+#: Faults put into the blocks, by expressions that both engines read alike, and what each rule has to find.
+_FAULTS = {
+    "edges": {"distance_m": "CASE WHEN edge_id LIKE 'H1%' THEN 0.0 ELSE distance_m END", "to_node": "CASE WHEN edge_id = 'V03' THEN 'N99' WHEN edge_id = 'V04' THEN from_node ELSE to_node END"},
+    "locations": {"capacity_weight_kg": "CASE WHEN location_id LIKE '%7' THEN -1.0 WHEN location_id LIKE '%8' THEN 1.0 ELSE capacity_weight_kg END", "location_type": "CASE WHEN location_id LIKE '%4' THEN 'shelf' ELSE location_type END", "access_node_id": "CASE WHEN location_id LIKE '%1' THEN '' WHEN location_id LIKE '%2' THEN 'N77' ELSE access_node_id END"},
+    "items": {"unit_weight_kg": "CASE WHEN sku LIKE '%6' THEN 0.0 ELSE unit_weight_kg END", "description": "CASE WHEN sku LIKE '%5' THEN '' ELSE 'x' END"},
+    "picks": {"quantity": "CASE WHEN l_linenumber = 3 THEN 0.0 ELSE quantity END", "location_id": "CASE WHEN l_linenumber = 4 THEN 'LX' ELSE location_id END", "mode": "CASE WHEN l_linenumber = 5 THEN 'drone' ELSE mode END", "pick_sequence": "CASE WHEN l_linenumber = 6 THEN -pick_sequence ELSE pick_sequence END"},
+}
+_FOUND = {
+    ("INVALID_EDGE_DISTANCE", "edges.distance_m"): "fedges WHERE distance_m <= 0", ("UNKNOWN_NODE_REFERENCE", "edges.to_node"): "fedges WHERE to_node NOT IN (SELECT node_id FROM nodes)", ("SELF_LOOP_EDGE", "edges"): "fedges WHERE from_node = to_node",
+    ("INVALID_CAPACITY", "locations.capacity_weight_kg"): "flocations WHERE capacity_weight_kg <= 0", ("INCONSISTENT_CAPACITY", "locations"): "flocations WHERE max_unit_weight_kg > capacity_weight_kg", ("UNKNOWN_LOCATION_TYPE", "locations.location_type"): "flocations WHERE location_type = 'shelf'",
+    ("LOCATION_WITHOUT_ACCESS_NODE", "locations.access_node_id"): "flocations WHERE access_node_id = ''", ("UNKNOWN_NODE_REFERENCE", "locations.access_node_id"): "flocations WHERE access_node_id = 'N77'",
+    ("INVALID_ITEM_MEASURE", "items.unit_weight_kg"): "fitems WHERE unit_weight_kg <= 0", ("MISSING_ITEM_DESCRIPTION", "items.description"): "fitems WHERE description = ''",
+    ("INVALID_QUANTITY", "picks.quantity"): "fpicks WHERE quantity <= 0", ("UNKNOWN_LOCATION", "picks.location_id"): "fpicks WHERE location_id NOT IN (SELECT location_id FROM places)", ("UNKNOWN_MODE", "picks.mode"): "fpicks WHERE mode = 'drone'", ("INVALID_PICK_SEQUENCE", "picks.pick_sequence"): "fpicks WHERE pick_sequence <= 0",
+}
+_FAULTY = _BASE + "".join(f", f{block} AS (SELECT * REPLACE ({', '.join(f'{e} AS {c}' for c, e in changes.items())}) FROM {src})" for (block, changes), src in zip(_FAULTS.items(), ("edges", "places", "(SELECT *, 'x' AS description FROM places) t", "picks"), strict=True))
+
+
+@_query(_FAULTY + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS code, '{f}' AS field, (SELECT count(*) FROM {w}) AS issues" for (c, f), w in _FOUND.items()) + ") t WHERE issues > 0")
+def planted_faults(spark, d):
+    """Issues per rule over blocks with planted faults."""
+    b = _star(spark, d)
+    b = replace(b, **{block: getattr(b, block).withColumns({c: F.expr(e) for c, e in changes.items()}) for block, changes in _FAULTS.items()})
+    found = quality.issues(b).groupBy("code", "field").agg(F.count("*").alias("issues"))
+    return found.where(F.struct("code", "field").isin(*[F.struct(F.lit(c).alias("code"), F.lit(f).alias("field")) for c, f in _FOUND]))

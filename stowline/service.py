@@ -73,6 +73,12 @@ def faults(value: Any, schema: dict, at: str = "arguments") -> Iterator[str]:
         yield f"{at}: not within {schema['minimum']} to {schema['maximum']}"
 
 
+def _short(frames: dict, lists: dict) -> dict:
+    """The total counts of lists that were cut, if any was."""
+    cut = reports.cut(frames, lists)
+    return {"shortened": cut} if cut else {}
+
+
 class Service:
     """Tools and protocol state of one session."""
 
@@ -113,7 +119,8 @@ class Service:
 
     def validate(self, dataset_id: str) -> dict:
         report = quality.validate(self._load(dataset_id))
-        return {"dataset_id": dataset_id, "status": report.status, "exit_code": report.exit_code, "issues": reports.head(report.issues.drop("rule"), 10_000)}
+        issues = reports.head(report.issues.drop("rule"), 10_000)
+        return {"dataset_id": dataset_id, "status": report.status, "exit_code": report.exit_code, "issues": issues} | _short({"issues": report.issues}, {"issues": issues})
 
     def analyze(self, dataset_id: str, top: int = 10) -> dict:
         b = self._load(dataset_id)
@@ -137,7 +144,8 @@ class Service:
         if report.status == "data_error":
             return out | {"issues": reports.head(report.issues.where("severity = 'error'").drop("rule"), 10_000)}
         accepted, rejected = slotting.recommend(b, top)
-        return out | {"recommendations": reports.head(accepted, top), "rejected_candidates": reports.head(rejected, 10_000), "thresholds": analyse.thresholds(b)}
+        lists = {"recommendations": reports.head(accepted, top), "rejected_candidates": reports.head(rejected, 10_000)}
+        return out | lists | {"thresholds": analyse.thresholds(b)} | _short({"rejected_candidates": rejected}, lists)
 
     def simulate(self, dataset_id: str, moves: list[dict]) -> dict:
         b = self._load(dataset_id)
@@ -145,7 +153,8 @@ class Service:
             totals, orders, checks = slotting.simulate(b, slotting.parse_moves(moves))
         except slotting.MoveError as e:
             raise ToolRefusal(str(e)) from e
-        return {"dataset_id": dataset_id, "source_dataset_modified": False, "totals": reports.head(totals)[0], "orders": reports.head(orders.orderBy("order_id"), 10_000), "checks": reports.head(checks, 500)}
+        lists = {"orders": reports.head(orders.orderBy("order_id"), 10_000), "checks": reports.head(checks, 500)}
+        return {"dataset_id": dataset_id, "source_dataset_modified": False, "totals": reports.head(totals)[0]} | lists | _short({"orders": orders, "checks": checks}, lists)
 
     def call(self, name: Any, arguments: Any) -> dict:
         """A tool's result, or an error result."""

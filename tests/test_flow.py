@@ -216,6 +216,40 @@ def test_validation(spark, change, code, status):
     assert code in codes if code else codes == {"SEQUENCE_BASIS_UNKNOWN"}
 
 
+def test_a_node_reaches_itself_in_any_mode(spark):
+    """An order by a vehicle that no edge admits is complete if all its stops are the start node (F4 to F10 in REPLY_r01.md)."""
+
+    def change(doc):
+        doc["picks"] = [doc["picks"][1] | {"mode": "tugger"}, doc["picks"][3] | {"mode": "tugger"}]
+        doc["locations"][0]["access_node_id"] = "N0"
+
+    b = bundle(spark, change)
+    orders = routes.build(b).orders
+    assert by(orders, "order_id", "total_distance_m", "reason") == {"O1": (0.0, None), "O3": (None, "UNREACHABLE_SEGMENT")}
+
+
+def test_unknown_locations_and_segments_are_named(spark):
+    def change(doc):
+        doc["picks"][1]["location_id"] = "LX"
+        doc["picks"][3]["mode"] = "forklift"
+
+    r = routes.build(bundle(spark, change))
+    assert by(r.orders, "order_id", "reason", "unknown_at_pick") == {"O1": ("UNKNOWN_LOCATION", "P2"), "O2": (None, None), "O3": ("UNREACHABLE_SEGMENT", None)}
+    assert sorted(tuple(x) for x in routes.unreachable_segments(r).collect() if x.pick_id) == [("O3", "P4", "N0", "N3", "forklift")]
+    assert by(routes.order_edges(r).where("order_id = 'O2'"), "edge_id", "traversals") == {"E1": 2, "E2": 2}
+
+
+def test_routes_of_a_layout_without_a_small_table(spark, monkeypatch):
+    """Distances solved for the used pairs only: the same routes and replays."""
+    swaps = spark.createDataFrame([("S1", "S2"), ("S1", "S3")], "sku_a string, sku_b string")
+    small, large = [], []
+    for out, most in ((small, network.MOST_PAIRS), (large, 3)):
+        monkeypatch.setattr(network, "MOST_PAIRS", most)
+        b = bundle(spark, lambda d: d["picks"][0].update(location_id="L1"))
+        out += sorted(map(str, routes.build(b).orders.drop("skus", "location_ids").collect())) + sorted(map(str, slotting.replay_swaps(b, swaps).collect()))
+    assert small == large
+
+
 def test_partial_routes(spark):
     b = bundle(spark, lambda d: d["picks"][3].update(mode="forklift"))
     r = routes.build(b)
