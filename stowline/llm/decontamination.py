@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Benchmark texts become windows of normalised words; their hashes form a set that goes out with the plan as long
-as it is small (`most_hashes`, a proven bound; beyond it the windows of the documents meet the benchmark's in a
-shuffle join on the hash instead). Each document's token windows are scanned inside its row; what hits the set
-is verified by the words themselves against the benchmark's windows, and hits become spans of words.
+as it is small (`most_hashes`, a proven bound), and each document's token windows are scanned inside its row. A larger set
+goes out as a broadcast hash table that the documents' windows stream past (up to `most_broadcast` windows, about 100 MB);
+beyond that the windows' hashes, never their words, meet the benchmark's in a shuffle join. What hits the set is verified by
+the words themselves against the benchmark's windows, and hits become spans of words.
 
 Words: A-Z lower-cased, then runs of letters and digits of ASCII and of any non-ASCII character. A window is
 `size` consecutive words of an item; an item with fewer, but not none, is one window.
@@ -62,15 +63,18 @@ def occurrences(
     item_id: str = "item_id",
     item_text: str = "text",
     most_hashes: int = 50_000,
+    most_broadcast: int = 1_000_000,
 ) -> DataFrame:
     """Per row: __doc_id, __text_hash, n_words, words_hit (sorted positions), items (sorted ids)."""
     grams = windows(benchmark, size, item_id, item_text)
     hashed = F.expr("transform(split(gram, ' '), w -> xxhash64(w))")
     grams = stage(grams.withColumn("h", hashed), "benchmark-windows")
     lengths = sorted(r.len for r in grams.select("len").distinct().collect())  # `size` rows at most
-    base = docs.select(F.col(doc_id).alias("__doc_id"), F.xxhash64(F.col(text)).alias("__text_hash"), words(F.col(text)).alias("w"))
+    own_id, own_text = F.col(f"`{doc_id}`"), F.col(f"`{text}`")  # docs may have columns of any name
+    base = docs.select(own_id.alias("__doc_id"), F.xxhash64(own_text).alias("__text_hash"), words(own_text).alias("w"))
     base = base.select("*", F.size("w").cast("long").alias("n_words"), F.expr("transform(w, x -> xxhash64(x))").alias("h"))
-    small = grams.limit(most_hashes + 1).count() <= most_hashes
+    n_grams = grams.count()
+    small = n_grams <= most_hashes
     found = []
     for n in lengths:
         if small:
@@ -78,12 +82,24 @@ def occurrences(
             ends = own.select(F.expr("get(h, 0)").alias("a"), F.expr(f"get(h, {n - 1})").alias("b"), F.expr(_hash(n, "0")).alias("x")).collect()
             a, b, x = (sorted({r[k] for r in ends}) for k in ("a", "b", "x"))
             test = f"get(h, i) {_in(a)} AND get(h, i + {n - 1}) {_in(b)} AND {_hash(n, 'i')} {_in(x)}"
-            at = f"filter(sequence(0, size(w) - {n}), i -> {test})"
+            found.append(f"if(size(w) < {n}, array(), transform(filter(sequence(0, size(w) - {n}), i -> {test}), i -> named_struct('pos', i, 'len', {n})))")
         else:
-            at = f"sequence(0, size(w) - {n})"
-        gram = f"array_join(slice(w, i + 1, {n}), ' ')"
-        found.append(f"if(size(w) < {n}, array(), transform({at}, i -> named_struct('pos', i, 'len', {n}, 'gram', {gram})))")
-    hits = F.expr("concat(" + ", ".join(found) + ")") if found else F.expr("cast(array() as array<struct<pos:int,len:int,gram:string>>)")
+            found.append(f"if(size(w) < {n}, array(), transform(sequence(0, size(w) - {n}), i -> named_struct('pos', i, 'len', {n}, 'x', {_hash(n, 'i')})))")
+    at = F.expr("concat(" + ", ".join(found) + ")") if found else F.expr("cast(array() as array<struct<pos:int,len:int>>)")
+    if not small and found:  # places by hash, per document; the texts are read once more below
+        wanted = None
+        for n in lengths:
+            own = grams.where(F.col("len") == n).select("len", F.expr(_hash(n, "0")).alias("x"))
+            wanted = own if wanted is None else wanted.union(own)
+        wanted = wanted.distinct()
+        wanted = F.broadcast(wanted) if n_grams <= most_broadcast else wanted
+        places = base.select("__doc_id", "__text_hash", F.explode(at).alias("p")).select("__doc_id", "__text_hash", "p.*")
+        met = places.join(wanted, ["len", "x"]).groupBy("__doc_id", "__text_hash").agg(F.collect_set(F.struct("pos", "len")).alias("at"))
+        met = stage(met.toDF("__id", "__hash", "at"), "window-places")
+        base = base.join(met, F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left").drop("__id", "__hash")
+        at = F.coalesce("at", F.expr("cast(array() as array<struct<pos:int,len:int>>)"))
+    gram = lambda p: F.array_join(F.slice("w", p["pos"] + 1, p["len"]), " ")
+    hits = F.transform(at, lambda p: F.struct(p["pos"].alias("pos"), p["len"].alias("len"), gram(p).alias("gram")))
     # one scan of the texts: counts and the few windows that hit, under a row number that is fixed once written
     marked = stage(base.select("__doc_id", "__text_hash", "n_words", hits.alias("hits"), F.monotonically_increasing_id().alias("__row")), "window-hits")
     each = marked.select("__row", F.explode("hits").alias("x")).select("__row", "x.*")

@@ -327,8 +327,8 @@ def test_decontamination(spark, docs, empty):
                     hit |= set(range(k, k + len(g)))
                     found |= ids
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    for most in (50_000, 1):  # the set in the plan, and the join beyond its bound
-        assert sorted(map(tuple, decontamination.report(all_docs, bench, most_hashes=most).collect()), key=key) == sorted(want, key=key)
+    for most, broadcast in ((50_000, 10**6), (1, 10**6), (1, 1)):  # the set in the plan, as a broadcast table, and the join beyond
+        assert sorted(map(tuple, decontamination.report(all_docs, bench, most_hashes=most, most_broadcast=broadcast).collect()), key=key) == sorted(want, key=key)
     assert decontamination.report(empty, bench).count() == 0
     assert decontamination.report(docs, bench.limit(0)).where("contaminated").count() == 0
     wide = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string"), allowMissingColumns=True)
