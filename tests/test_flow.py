@@ -1,9 +1,9 @@
-"""The engine on the minimal layout, one changed field at a time, and properties on the star tables."""
+"""The engine on the yard layout, one changed field at a time, and properties on the star tables."""
 
 import json
 
 import pytest
-from fixtures import minimal
+from fixtures import yard
 from pyspark.sql import functions as F
 
 from stowline.operators import affinity, classify, constraints, metrics, network, normalise, quality, routes, slotting
@@ -15,7 +15,7 @@ from stowline.sources import documents, starmap
 
 @pytest.fixture(scope="module")
 def base(spark):
-    return documents.from_object(spark, minimal())
+    return documents.from_object(spark, yard())
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def routing(base):
 
 
 def bundle(spark, change, **config):
-    doc = minimal(**config)
+    doc = yard(**config)
     change(doc)
     return documents.from_object(spark, doc)
 
@@ -34,19 +34,19 @@ def by(df, key, *values):
 
 
 def test_routes(routing):
-    assert by(routing.orders, "order_id", "total_distance_m") == {"O1": 40, "O2": 40, "O3": 40}
-    legs = [(r.from_node, r.to_node, r.distance_m) for r in routing.legs.where("order_id = 'O1'").orderBy("leg_no").collect()]
-    assert legs == [("N0", "N2", 20), ("N2", "N1", 10), ("N1", "N0", 10)]
+    assert by(routing.orders, "order_id", "total_distance_m") == {"ord-a": 140, "ord-b": 140, "ord-c": 190, "ord-d": 90}
+    legs = [(r.from_node, r.to_node, r.distance_m) for r in routing.legs.where("order_id = 'ord-a'").orderBy("leg_no").collect()]
+    assert legs == [("dock", "east", 70), ("east", "west", 40), ("west", "dock", 30)]
 
 
 def test_metrics(base, routing):
     m = metrics.flow_metrics(base, routing).first()
-    assert (m.total_distance_m, m.average_distance_per_order_m, m.median_distance_per_order_m, m.p90_distance_per_order_m, m.average_distance_per_pick_m) == (120, 40, 40, 40, 30)
-    assert (m.zone_transitions, m.total_units, m.excluded_orders) == (6, 7, 0)
-    assert by(metrics.location_metrics(base, routing), "location_id", "attributable_distance_m", "visits") == {"L1": (20, 1), "L2": (60, 2), "L3": (40, 1)}
-    assert by(metrics.edge_flows(base, routing), "edge_id", "traversals", "walked_m") == {"E1": (6, 60), "E2": (4, 40), "E3": (2, 20)}
-    assert by(metrics.zone_flows(base, routing), "zone_id", "visits") == {"Z1": 3, "Z2": 1}
-    assert by(metrics.sku_metrics(base, routing), "sku", "pick_lines", "units", "orders", "location_id")["S1"] == (2, 4, 2, "L2")
+    assert (m.total_distance_m, m.average_distance_per_order_m, m.median_distance_per_order_m, m.p90_distance_per_order_m, m.average_distance_per_pick_m) == (560, 140, 140, 175, 112)
+    assert (m.zone_transitions, m.total_units, m.excluded_orders) == (9, 15, 0)
+    assert by(metrics.location_metrics(base, routing), "location_id", "attributable_distance_m", "visits") == {"bin-w": (70, 1), "bin-e": (210, 2), "bin-y": (190, 1), "bin-n": (90, 1)}
+    assert by(metrics.edge_flows(base, routing), "edge_id", "traversals", "walked_m") == {"r1": (6, 180), "r2": (6, 240), "r3": (0, 0), "r4": (2, 90), "spur": (2, 50)}
+    assert by(metrics.zone_flows(base, routing), "zone_id", "visits") == {"left": 1, "right": 3, "out": 1}
+    assert by(metrics.sku_metrics(base, routing), "sku", "pick_lines", "units", "orders", "location_id")["bolt"] == (2, 7, 2, "bin-e")
 
 
 def test_percentile(spark):
@@ -61,16 +61,16 @@ def test_affinity(base):
     r = affinity.enriched(base, affinity.pairs(base)).collect()
     assert len(r) == 1
     r = r[0]
-    assert (r.sku_a, r.sku_b, r.co_picks, r.confidence_ab, r.confidence_ba, r.location_a) == ("S1", "S2", 1, 0.5, 1.0, "L2")
-    assert r.support == pytest.approx(1 / 3) and r.lift == pytest.approx(1.5)
+    assert (r.sku_a, r.sku_b, r.co_picks, r.confidence_ab, r.confidence_ba, r.location_a) == ("bolt", "glue", 1, 0.5, 1.0, "bin-e")
+    assert r.support == pytest.approx(1 / 4) and r.lift == pytest.approx(2)
 
 
 def test_graph(spark, base):
-    assert network.components(base.nodes, base.edges).select("component").distinct().collect()[0][0] == "N0"
-    assert [r.node_id for r in network.unreachable(base.nodes, base.edges, "N0", "forklift").collect()] == ["N3"]
-    wanted = spark.createDataFrame([("N2", "pedestrian", "N3"), ("N1", "pedestrian", "N1"), ("N0", "forklift", "N3"), ("NX", "pedestrian", "N0")], "src string, mode string, dst string")
+    assert network.components(base.nodes, base.edges).select("component").distinct().collect()[0][0] == "dock"
+    assert [r.node_id for r in network.unreachable(base.nodes, base.edges, "dock", "forklift").collect()] == ["yard"]
+    wanted = spark.createDataFrame([("yard", "pedestrian", "west"), ("west", "pedestrian", "west"), ("dock", "forklift", "yard"), ("NX", "pedestrian", "dock")], "src string, mode string, dst string")
     got = {(r.src, r.dst): (r.dist, r.path) for r in network.shortest_paths(base.nodes, base.edges, wanted).collect()}
-    assert got == {("N2", "N3"): (20, ["E2", "E3"]), ("N1", "N1"): (0, [])}
+    assert got == {("yard", "west"): (65, ["spur", "r2"]), ("west", "west"): (0, [])}
 
 
 def test_relaxation_equals_the_task_local_solution(spark, monkeypatch):
@@ -89,14 +89,14 @@ def test_relaxation_equals_the_task_local_solution(spark, monkeypatch):
 
 
 def test_swap(spark, base, routing):
-    totals, orders, checks = slotting.simulate(base, [("S1", "S2")], routing)
+    totals, orders, checks = slotting.simulate(base, [("bolt", "glue")], routing)
     t = totals.first()
-    assert (t.baseline_m, t.scenario_m, t.reduction_m, t.affected_orders) == (120, 100, 20, 1)
-    assert t.reduction_percent == pytest.approx(16.6667, abs=1e-4)
-    assert [r.order_id for r in orders.where("delta_m <> 0").collect()] == ["O2"]
+    assert (t.baseline_m, t.scenario_m, t.reduction_m, t.affected_orders) == (560, 480, 80, 1)
+    assert t.reduction_percent == pytest.approx(100 / 7)
+    assert [r.order_id for r in orders.where("delta_m <> 0").collect()] == ["ord-b"]
     assert checks.first().status == "ok"
     accepted, rejected = slotting.recommend(base)
-    assert [(r.swap_id, r.sku_a, r.sku_b, r.reduction_m) for r in accepted.collect()] == [("SWAP-001", "S1", "S2", 20)]
+    assert [(r.swap_id, r.sku_a, r.sku_b, r.reduction_m) for r in accepted.collect()] == [("SWAP-001", "bolt", "glue", 80)]
     assert slotting.recommend(base, top=0)[0].count() == 0
 
 
@@ -104,11 +104,11 @@ def test_replay_of_many_equals_one_by_one(spark):
     """Off-assignment picks, so that even orders without the swapped items change."""
 
     def change(doc):
-        doc["picks"][3]["location_id"] = "L1"
-        doc["picks"].append(doc["picks"][3] | {"pick_id": "P5", "order_id": "O4", "sku": "S2", "mode": "forklift"})
+        doc["picks"][3]["location_id"] = "bin-w"
+        doc["picks"].append(doc["picks"][3] | {"pick_id": "p6", "order_id": "ord-e", "sku": "glue", "mode": "forklift"})
 
     b = bundle(spark, change)
-    swaps = [("S1", "S2"), ("S1", "S3"), ("S2", "S3")]
+    swaps = [("bolt", "glue"), ("bolt", "rope"), ("glue", "rope")]
     many = by(slotting.replay_swaps(b, spark.createDataFrame(swaps, "sku_a string, sku_b string")).withColumn("k", F.concat("sku_a", "sku_b")), "k", "comparable_orders", "affected_orders", "baseline_m", "scenario_m")
     for m in swaps:
         t = slotting.simulate(b, [m])[0].first()
@@ -136,7 +136,7 @@ def test_moves():
 
 
 def test_simulate_refuses(base, routing):
-    for moves in ([("S1", "S2"), ("S2", "S3")], [("S1", "SX")]):
+    for moves in ([("bolt", "glue"), ("glue", "rope")], [("bolt", "SX")]):
         with pytest.raises(slotting.MoveError):
             slotting.simulate(base, moves, routing)
 
@@ -144,7 +144,7 @@ def test_simulate_refuses(base, routing):
 @pytest.mark.parametrize(
     "block, row, change, check, outcome",
     [
-        ("items", 0, {"unit_volume_m3": 0.5}, "volume", "fail"), ("items", 0, {"unit_weight_kg": 5}, "weight", "fail"), ("items", 0, {"unit_weight_kg": 21}, "unit_weight", "fail"),
+        ("items", 0, {"unit_volume_m3": 0.5}, "volume", "fail"), ("items", 0, {"unit_weight_kg": 6}, "weight", "fail"), ("items", 0, {"unit_weight_kg": 26}, "unit_weight", "fail"),
         ("items", 0, {"unit_weight_kg": None}, "weight", "insufficient_data"), ("locations", 0, {"temperature_zone": "chilled"}, "temperature", "fail"), ("items", 0, {"temperature_zone": ""}, "temperature", "insufficient_data"),
         ("locations", 0, {"hazard_classes_allowed": ["acid"]}, "hazard", "fail"), ("locations", 0, {"hazard_classes_allowed": []}, "hazard", "insufficient_data"), ("items", 1, {"handling_mode": "tugger"}, "handling_mode", "fail"),
         ("locations", 0, {"location_type": "reserve"}, "zone", "fail"), ("locations", 0, {"level": 2}, "level", "fail"), ("locations", 0, {"level": None}, "level", "insufficient_data"),
@@ -153,34 +153,34 @@ def test_simulate_refuses(base, routing):
 )
 def test_constraints(spark, block, row, change, check, outcome):
     b = bundle(spark, lambda doc: doc[block][row].update(change))
-    r = constraints.check_swaps(b, spark.createDataFrame([("S1", "S2")], "sku_a string, sku_b string")).first()
+    r = constraints.check_swaps(b, spark.createDataFrame([("bolt", "glue")], "sku_a string, sku_b string")).first()
     assert r[f"check_{check}"] == outcome
     assert r.status == ("constraint_violation" if outcome == "fail" else "insufficient_constraint_data")
     assert check in (r.failed if outcome == "fail" else r.insufficient)
 
 
 def test_constraints_missing_side(spark, base):
-    r = constraints.check_swaps(base, spark.createDataFrame([("S1", "SX")], "sku_a string, sku_b string")).first()
+    r = constraints.check_swaps(base, spark.createDataFrame([("bolt", "SX")], "sku_a string, sku_b string")).first()
     assert r.insufficient == list(constraints.CHECKS) and r.status == "insufficient_constraint_data"
 
 
 def test_abc_classes(spark):
     def change(doc):
         pick = doc["picks"][0]
-        doc["picks"] = [pick | {"pick_id": f"P{s}{k}", "order_id": f"O{s}{k}", "sku": s} for s, n in (("S1", 7), ("S2", 2), ("S3", 1)) for k in range(n)]
+        doc["picks"] = [pick | {"pick_id": f"P{s}{k}", "order_id": f"O{s}{k}", "sku": s} for s, n in (("bolt", 7), ("glue", 2), ("rope", 1)) for k in range(n)]
 
     b = bundle(spark, change)
-    assert by(classify.abc(b), "sku", "abc_class") == {"S1": "A", "S2": "A", "S3": "B"}
+    assert by(classify.abc(b), "sku", "abc_class") == {"bolt": "A", "glue": "A", "rope": "B", "lamp": "C"}
     none = bundle(spark, lambda d: d.update(picks=[]))
     assert set(by(classify.abc(none), "sku", "abc_class").values()) == {"C"}
 
 
 def test_xyz(spark, base):
     table, facts = classify.xyz(base)
-    assert facts == {"bucket": "day", "buckets": 10, "minimum": 7, "computed": True}
+    assert facts == {"bucket": "day", "buckets": 12, "minimum": 7, "computed": True}
     cv = by(table, "sku", "cv")
-    assert cv["S1"] == pytest.approx((10 * 2 - 4) ** 0.5 / 2)
-    few, facts = classify.xyz(bundle(spark, lambda d: d["meta"].update(period_end="2026-01-03T00:00:00+01:00")))
+    assert cv["bolt"] == pytest.approx((12 * 2 - 4) ** 0.5 / 2)
+    few, facts = classify.xyz(bundle(spark, lambda d: d["meta"].update(period_end="2026-03-04T00:00:00+01:00")))
     assert not facts["computed"] and few.count() == 0
     week = spark.sql("select date'2027-01-01' d").select(classify.bucket_key(F.col("d"), "week")).first()[0]
     assert week == "2026-W53"
@@ -191,7 +191,7 @@ def test_xyz(spark, base):
     "change, code, status",
     [
         (lambda d: None, None, "ok"),
-        (lambda d: d["picks"][1].update(pick_id="P1"), "DUPLICATE_PICK_ID", "data_error"),
+        (lambda d: d["picks"][1].update(pick_id="p1"), "DUPLICATE_PICK_ID", "data_error"),
         (lambda d: d["edges"][0].update(to_node="NX"), "UNKNOWN_NODE_REFERENCE", "data_error"),
         (lambda d: d["edges"][0].update(distance_m=0), "INVALID_EDGE_DISTANCE", "data_error"),
         (lambda d: d["edges"].pop(), "DISCONNECTED_GRAPH", "data_error"),
@@ -205,7 +205,7 @@ def test_xyz(spark, base):
         (lambda d: d["picks"][3].update(mode="forklift"), "DISCONNECTED_ROUTE", "partial"),
         (lambda d: d["picks"][0].update(mode="forklift") or d["picks"][1].update(mode="tugger"), "MIXED_ORDER_MODES", "partial"),
         (lambda d: d["config"].update(route_end_node=None), "MISSING_ROUTE_ENDPOINT", "data_error"),
-        (lambda d: d["assignments"].append(d["assignments"][0] | {"location_id": "L1"}), "SHARED_PICK_LOCATION", "data_error"),
+        (lambda d: d["assignments"].append(d["assignments"][0] | {"location_id": "bin-w"}), "SHARED_PICK_LOCATION", "data_error"),
         (lambda d: d["meta"].update(sequence_basis="guess"), "UNKNOWN_SEQUENCE_BASIS", "data_error"),
     ],
 )
@@ -221,11 +221,11 @@ def test_a_node_reaches_itself_in_any_mode(spark):
 
     def change(doc):
         doc["picks"] = [doc["picks"][1] | {"mode": "tugger"}, doc["picks"][3] | {"mode": "tugger"}]
-        doc["locations"][0]["access_node_id"] = "N0"
+        doc["locations"][0]["access_node_id"] = "dock"
 
     b = bundle(spark, change)
     orders = routes.build(b).orders
-    assert by(orders, "order_id", "total_distance_m", "reason") == {"O1": (0.0, None), "O3": (None, "UNREACHABLE_SEGMENT")}
+    assert by(orders, "order_id", "total_distance_m", "reason") == {"ord-a": (0.0, None), "ord-c": (None, "UNREACHABLE_SEGMENT")}
 
 
 def test_unknown_locations_and_segments_are_named(spark):
@@ -234,18 +234,18 @@ def test_unknown_locations_and_segments_are_named(spark):
         doc["picks"][3]["mode"] = "forklift"
 
     r = routes.build(bundle(spark, change))
-    assert by(r.orders, "order_id", "reason", "unknown_at_pick") == {"O1": ("UNKNOWN_LOCATION", "P2"), "O2": (None, None), "O3": ("UNREACHABLE_SEGMENT", None)}
-    assert sorted(tuple(x) for x in routes.unreachable_segments(r).collect() if x.pick_id) == [("O3", "P4", "N0", "N3", "forklift")]
-    assert by(routes.order_edges(r).where("order_id = 'O2'"), "edge_id", "traversals") == {"E1": 2, "E2": 2}
+    assert by(r.orders, "order_id", "reason", "unknown_at_pick") == {"ord-a": ("UNKNOWN_LOCATION", "p2"), "ord-b": (None, None), "ord-c": ("UNREACHABLE_SEGMENT", None), "ord-d": (None, None)}
+    assert sorted(tuple(x) for x in routes.unreachable_segments(r).collect() if x.pick_id) == [("ord-c", "p4", "dock", "yard", "forklift")]
+    assert by(routes.order_edges(r).where("order_id = 'ord-b'"), "edge_id", "traversals") == {"r1": 2, "r2": 2}
 
 
 def test_routes_of_a_layout_without_a_small_table(spark, monkeypatch):
     """Distances solved for the used pairs only: the same routes and replays."""
-    swaps = spark.createDataFrame([("S1", "S2"), ("S1", "S3")], "sku_a string, sku_b string")
+    swaps = spark.createDataFrame([("bolt", "glue"), ("bolt", "rope")], "sku_a string, sku_b string")
     small, large = [], []
     for out, most in ((small, network.MOST_PAIRS), (large, 3)):
         monkeypatch.setattr(network, "MOST_PAIRS", most)
-        b = bundle(spark, lambda d: d["picks"][0].update(location_id="L1"))
+        b = bundle(spark, lambda d: d["picks"][0].update(location_id="bin-w"))
         out += sorted(map(str, routes.build(b).orders.drop("skus", "location_ids").collect())) + sorted(map(str, slotting.replay_swaps(b, swaps).collect()))
     assert small == large
 
@@ -253,9 +253,9 @@ def test_routes_of_a_layout_without_a_small_table(spark, monkeypatch):
 def test_partial_routes(spark):
     b = bundle(spark, lambda d: d["picks"][3].update(mode="forklift"))
     r = routes.build(b)
-    assert by(r.orders, "order_id", "reason")["O3"] == "UNREACHABLE_SEGMENT"
-    assert metrics.flow_metrics(b, r).first().total_distance_m == 80
-    assert [x.order_id for x in routes.touching(r, skus=["S3"]).collect()] == ["O3"]
+    assert by(r.orders, "order_id", "reason")["ord-c"] == "UNREACHABLE_SEGMENT"
+    assert metrics.flow_metrics(b, r).first().total_distance_m == 370
+    assert [x.order_id for x in routes.touching(r, skus=["rope"]).collect()] == ["ord-c"]
 
 
 @pytest.mark.parametrize("block, change", [("nodes", {"x_m": "far"}), ("nodes", {"node_id": ""}), ("edges", {"bidirectional": "perhaps"}), ("assignments", {"role": "spare"}), ("picks", {"pick_sequence": "1.5"})])
@@ -266,11 +266,11 @@ def test_strict_rows(spark, block, change):
 
 def test_files(spark, tmp_path, base):
     path = tmp_path / "data.json"
-    path.write_text(json.dumps(minimal()))
+    path.write_text(json.dumps(yard()))
     b = documents.load(spark, str(path))
     for name in ("nodes", "edges", "locations", "items", "assignments", "picks"):
         assert sorted(map(str, getattr(b, name).collect())) == sorted(map(str, getattr(base, name).collect()))
-    assert documents.Catalog(tmp_path).load(spark, "minimal").nodes.count() == 4
+    assert documents.Catalog(tmp_path).load(spark, "yard").nodes.count() == 5
     for bad in (lambda: documents.Catalog(tmp_path).load(spark, "other"), lambda: documents.read_json(tmp_path / "none.json"), lambda: documents.load_mapping(__file__)):
         with pytest.raises(documents.SourceError):
             bad()
@@ -279,14 +279,14 @@ def test_files(spark, tmp_path, base):
     assert doc["status"] == "ok" and {f["claim"] for f in doc["findings"]} >= {"observed", "calculated", "simulated"}
     names = {p.name for p in (tmp_path / "out").iterdir()}
     assert names == {"analysis.json", "recommendations.csv", "moves.json", "report.md", "report.html", "flow-map.svg", "spaghetti.svg", "spaghetti-aggregate.svg"}
-    assert documents.load_moves(tmp_path / "out/moves.json") == [("S1", "S2")]
+    assert documents.load_moves(tmp_path / "out/moves.json") == [("bolt", "glue")]
     assert 'stroke-width="10.00"' in (tmp_path / "out/flow-map.svg").read_text()
 
 
 def test_command_line_writes_whole_tables(spark, tmp_path):
     from stowline import __main__ as cli
 
-    doc = minimal()
+    doc = yard()
     doc["locations"] += [doc["locations"][0] | {"location_id": f"X{k}"} for k in range(60)]
     (tmp_path / "data.json").write_text(json.dumps(doc))
     for command in ("recommend", "analyze"):

@@ -8,23 +8,23 @@ import pytest
 from stowline import evals, service
 from stowline.schema import BLOCKS
 from stowline.sources import documents
-from tests.fixtures import minimal
+from tests.fixtures import yard
 
 
 def canonical(**config) -> dict:
-    d = minimal(**config)
+    d = yard(**config)
     return d | {"layout": {k: d.pop(k) for k in ("nodes", "edges")}}
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     p = tmp_path_factory.mktemp("data")
-    (p / "minimal.json").write_text(json.dumps(canonical()))
+    (p / "yard.json").write_text(json.dumps(canonical()))
     return p
 
 
 def test_layout_and_saved_folder(spark, folder, tmp_path):
-    first = documents.load(spark, str(folder / "minimal.json"))
+    first = documents.load(spark, str(folder / "yard.json"))
     documents.save(first, str(tmp_path / "set"))
     again = documents.load(spark, str(tmp_path / "set"))
     assert (again.meta, again.config) == (first.meta, first.config)
@@ -43,11 +43,11 @@ def test_layout_and_saved_folder(spark, folder, tmp_path):
 def test_cases(spark, folder, tmp_path):
     good = {
         "case_id": "good", "category": "metrics", "dataset": canonical(), "expected_status": "ok", "expected_exit_code": 0, "forbidden_issue_codes": ["UNKNOWN_SKU"],
-        "expected_metrics": {"total_distance_m": {"value": 120, "tolerance": 0.001}, "unreachable_order_count": 0}, "allowed_recommendations": ["S2|S1"], "expected_recommendation_count": 1,
-        "expected_claim_types": ["simulated"], "forbidden_claim_types": ["hypothesis"], "expected_affinity": {"pair": "S2|S1", "co_pick_count": 1}, "forbidden_report_substrings": ["guaranteed"],
+        "expected_metrics": {"total_distance_m": {"value": 560, "tolerance": 0.001}, "unreachable_order_count": 0}, "allowed_recommendations": ["glue|bolt"], "expected_recommendation_count": 1,
+        "expected_claim_types": ["simulated"], "forbidden_claim_types": ["hypothesis"], "expected_affinity": {"pair": "glue|bolt", "co_pick_count": 1}, "forbidden_report_substrings": ["guaranteed"],
     }
     (tmp_path / "a.json").write_text(json.dumps(good))
-    (tmp_path / "b.json").write_text(json.dumps({"category": "routing", "dataset_path": str(folder / "minimal.json"), "expected_status": "partial", "required_issue_codes": ["UNKNOWN_SKU"]}))
+    (tmp_path / "b.json").write_text(json.dumps({"category": "routing", "dataset_path": str(folder / "yard.json"), "expected_status": "partial", "required_issue_codes": ["UNKNOWN_SKU"]}))
     (tmp_path / "c.json").write_text("{}")
     a, b, c = evals.run(spark, tmp_path)
     assert a.passed and a.checks == 11, a.failures
@@ -64,17 +64,17 @@ def test_tools(spark, folder):
     assert _hello(s)["result"]["protocolVersion"] == "2025-06-18"
     call = lambda name, **a: s.answer({"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}})["result"]
     read = lambda r: json.loads(r["content"][0]["text"])
-    assert read(call("list_demo_datasets"))["datasets"][0] | {"site_id": None} == {"dataset_id": "minimal", "site_id": None, "fictional": True, "period_start": "2026-01-01T00:00:00+01:00", "period_end": "2026-01-10T23:59:59+01:00", "orders": 3, "pick_lines": 4}
-    summed = read(call("get_demo_summary", dataset_id="minimal"))
-    assert (summed["nodes"], summed["travel_modes"], summed["zones"]) == (4, ["forklift", "pedestrian"], ["Z1", "Z2"])
-    assert read(call("validate_demo_dataset", dataset_id="minimal"))["status"] == "ok"
-    flows = read(call("analyze_demo_flows", dataset_id="minimal", top=1))
-    assert flows["metrics"]["total_distance_m"] == 120 and len(flows["edge_flows"]) == 1
-    assert [r["sku_a"] for r in read(call("recommend_demo_slotting", dataset_id="minimal"))["recommendations"]] == ["S1"]
-    moved = read(call("simulate_demo_moves", dataset_id="minimal", moves=[{"type": "pair_swap", "sku_a": "S1", "sku_b": "S2"}]))
-    assert moved["totals"]["reduction_m"] == 20
-    for name, args in (("none", {}), ("get_demo_summary", {}), ("get_demo_summary", {"dataset_id": "../x"}), ("analyze_demo_flows", {"dataset_id": "minimal", "top": 51}), ("analyze_demo_flows", {"dataset_id": "minimal", "top": True}),
-                       ("get_demo_summary", {"dataset_id": "minimal", "path": "x"}), ("simulate_demo_moves", {"dataset_id": "minimal", "moves": []}), ("simulate_demo_moves", {"dataset_id": "minimal", "moves": [{"type": "pair_swap", "sku_a": "S1", "sku_b": "S1"}]})):
+    assert read(call("list_demo_datasets"))["datasets"][0] | {"site_id": None} == {"dataset_id": "yard", "site_id": None, "fictional": True, "period_start": "2026-03-02T00:00:00+01:00", "period_end": "2026-03-13T23:59:59+01:00", "orders": 4, "pick_lines": 5}
+    summed = read(call("get_demo_summary", dataset_id="yard"))
+    assert (summed["nodes"], summed["travel_modes"], summed["zones"]) == (5, ["forklift", "pedestrian"], ["left", "out", "right"])
+    assert read(call("validate_demo_dataset", dataset_id="yard"))["status"] == "ok"
+    flows = read(call("analyze_demo_flows", dataset_id="yard", top=1))
+    assert flows["metrics"]["total_distance_m"] == 560 and len(flows["edge_flows"]) == 1
+    assert [r["sku_a"] for r in read(call("recommend_demo_slotting", dataset_id="yard"))["recommendations"]] == ["bolt"]
+    moved = read(call("simulate_demo_moves", dataset_id="yard", moves=[{"type": "pair_swap", "sku_a": "bolt", "sku_b": "glue"}]))
+    assert moved["totals"]["reduction_m"] == 80
+    for name, args in (("none", {}), ("get_demo_summary", {}), ("get_demo_summary", {"dataset_id": "../x"}), ("analyze_demo_flows", {"dataset_id": "yard", "top": 51}), ("analyze_demo_flows", {"dataset_id": "yard", "top": True}),
+                       ("get_demo_summary", {"dataset_id": "yard", "path": "x"}), ("simulate_demo_moves", {"dataset_id": "yard", "moves": []}), ("simulate_demo_moves", {"dataset_id": "yard", "moves": [{"type": "pair_swap", "sku_a": "bolt", "sku_b": "bolt"}]})):
         assert call(name, **args)["isError"], (name, args)
 
 
