@@ -1,8 +1,10 @@
 """Pre-tokens of word_bpe_49k.json and a worker-side cache of their encodings.
 
 The tokenizer normalises (NFC, white space, lower case), cuts the text into pre-tokens and encodes each of
-them on its own, so a text's ids are the ids of its pre-tokens in turn. Texts of plain Latin letters take a
-fast path that cuts pre-tokens here; any other text goes to the library as a whole.
+them on its own, so a text's ids are the ids of its pre-tokens in turn. Texts of plain Latin letters are cut
+here. No pre-token holds a blank and no letter combines with one, so any other text is first cut at its blanks:
+plain pieces are cut further here, and a piece with rare characters or the start of a special string stays
+whole, as one entry that the library encodes once. So both tiers serve every text.
 """
 
 from __future__ import annotations
@@ -17,11 +19,26 @@ _NUMBERS = "0-9²³¹¼-¾"
 _PRETOKEN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \t\n\r{_LETTERS}{_NUMBERS}]+")
 
 
-def pretokens(text: str) -> list[str] | None:
-    """The text's pre-tokens, or None where only the library can tell (rare characters, special strings)."""
-    if "<|" in text or not _PLAIN.fullmatch(text):
-        return None
-    return _PRETOKEN.findall(text.lower())
+_BLANKS = re.compile("[ \t\n\r]+")
+#: Longer entries are encoded each time and kept by no table, so that the count of entries bounds the memory.
+MOST_KEPT = 256
+
+
+def _rare(text: str) -> bool:
+    return "<|" in text or not _PLAIN.fullmatch(text)
+
+
+def pretokens(text: str) -> list[str]:
+    """The text's pre-tokens; a piece between blanks where only the library can cut stays whole."""
+    if not _rare(text):
+        return _PRETOKEN.findall(text.lower())
+    out: list[str] = []
+    for piece in _BLANKS.split(text):
+        if _rare(piece):
+            out.append(piece)
+        else:
+            out += _PRETOKEN.findall(piece.lower())
+    return out
 
 
 def _byte_letters() -> dict[int, int]:
@@ -44,7 +61,8 @@ class _Cache(dict):
         if value is None:
             self.misses += 1
             value = self.make_one(word)
-        self[word] = value
+        if len(word) <= MOST_KEPT:
+            self[word] = value
         return value
 
 
@@ -67,6 +85,8 @@ class PretokenCoder:
         tokenize, letters = self.tokenizer.model.tokenize, _byte_letters()
 
         def one(word: str):
+            if _rare(word):
+                return make(self.tokenizer.encode(word, add_special_tokens=False).ids)
             if not (word.isascii() and word.isprintable()):
                 word = word.encode().decode("latin-1").translate(letters)
             return make([t.id for t in tokenize(word)])
@@ -84,14 +104,8 @@ class PretokenCoder:
             young = _Cache(self._one, self.fixed)
             young.old, young.misses = dict(self.cache), self.cache.misses
             self.cache = young
-        get, out = self.cache.__getitem__, []
-        for t in texts:
-            cut = pretokens(t)
-            if cut is None:
-                out.append([self.make(self.tokenizer.encode(t, add_special_tokens=False).ids)])
-            else:
-                out.append(list(map(get, cut)))
-        return out
+        get = self.cache.__getitem__
+        return [list(map(get, pretokens(t))) for t in texts]
 
 
 def chunks(texts: list[str], most: int = 2_000_000):
