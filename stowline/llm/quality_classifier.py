@@ -1,8 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are documents labelled 1, the unlabelled class is web text without a label, and the class prior
-is estimated as the share of 1 among the labelled training rows (which should be drawn like the unlabelled text: a
-prior that is too high hides the negatives). A small network over counts of the whole text is
+is estimated from these two alone (`estimate_prior`); labels other than 1 are never used. A small network over counts of the whole text is
 fitted by minimising  pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])  with the logistic loss, so that its
 sigmoid estimates the probability of label 1.
 
@@ -78,8 +77,29 @@ class PuModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden: int = 16, steps: int = 800, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> PuModel:
-    """Minimise the non-negative PU risk by Adam; where the negative part turns below 0 its gradient is reversed."""
+def _sig(f: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+
+
+def pu_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of logits and its descent gradients by fp and fu.
+
+    Where the negative part turns below 0 the gradients are those of minus this part, as the method demands.
+    """
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    value = prior * np.logaddexp(0, -fp).mean() + max(0.0, negative)
+    if negative >= 0:
+        return value, np.full(len(fp), -prior / len(fp)), _sig(fu) / len(fu)
+    return value, prior * _sig(fp) / len(fp), -_sig(fu) / len(fu)
+
+
+def apart_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Logistic risk of telling positives from unlabelled rows, both classes weighed alike; the prior plays no part."""
+    return np.logaddexp(0, -fp).mean() + np.logaddexp(0, fu).mean(), -_sig(-fp) / len(fp), _sig(fu) / len(fu)
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, risk=pu_risk, hidden: int = 16, steps: int = 800, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> PuModel:
+    """Minimise the risk by Adam."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled]) if len(positive) else np.zeros((1, N_FEATURES))
     model = PuModel(both.mean(0), both.std(0) + 1e-6, rng.normal(0, 0.3, (both.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), 0.0, prior)
@@ -88,15 +108,9 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden
     xp, xu = (np.clip((x - model.mean) / model.scale, -8, 8) for x in (positive, unlabelled))
     params = [model.w1, model.b1, rng.normal(0, 0.3, hidden), np.zeros(1)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    sig = lambda f: 1 / (1 + np.exp(-np.clip(f, -30, 30)))
     for step in range(1, steps + 1):
         hp, hu = np.tanh(xp @ params[0] + params[1]), np.tanh(xu @ params[0] + params[1])
-        fp, fu = hp @ params[2] + params[3], hu @ params[2] + params[3]
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        if negative >= 0:  # gradients of the losses with respect to f
-            gp, gu = prior * (-(1 - sig(fp)) - sig(fp)) / len(fp), sig(fu) / len(fu)
-        else:
-            gp, gu = prior * sig(fp) / len(fp), -sig(fu) / len(fu)
+        _, gp, gu = risk(hp @ params[2] + params[3], hu @ params[2] + params[3], prior)
         grads = [np.zeros_like(p) for p in params]
         for x, h, g in ((xp, hp, gp), (xu, hu, gu)):
             inner = np.outer(g, params[2]) * (1 - h * h)
@@ -114,6 +128,29 @@ def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, hidden
     return model
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 150, delta: float = 0.1, seed: int = 7) -> float:
+    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone (best-bin estimate).
+
+    A classifier tells positives from unlabelled rows, fitted on one half and scoring the other. Among the rows
+    scored highest, let q_p and q_u be the shares of positives and of unlabelled rows: q_u / q_p is at least the
+    prior, and near it where the bin holds few negatives. The bin is the one whose upper confidence bound is least.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    halves = [rng.permutation(len(x)) % 2 for x in (positive, unlabelled)]
+    p, u = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in (0, 1):
+        told = fit_pu(positive[halves[0] != k], unlabelled[halves[1] != k], 0.5, risk=apart_risk, steps=steps)
+        p[halves[0] == k], u[halves[1] == k] = told.logits(positive[halves[0] == k]), told.logits(unlabelled[halves[1] == k])
+    p, u = np.sort(p), np.sort(u)
+    q_p = 1 - np.arange(len(p)) / len(p)  # bins that begin at each positive's score
+    q_u = 1 - np.searchsorted(u, p, "left") / len(u)
+    slack = sum(math.sqrt(math.log(4 / delta) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((q_u + 1.01 * slack) / q_p)
+    return float(np.clip(q_u[best] / q_p[best], 0.01, 0.99))
+
+
 def _vectors(docs: DataFrame, keep: str) -> DataFrame:
     """(keep, x) per row of (keep, text)."""
 
@@ -141,8 +178,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(~held_out("doc_id"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y")).where(F.col("y").isNotNull() & ~held_out("doc_id"))
     marks = stage(marks.groupBy("doc_id").agg(F.min("y").alias("y")), "labels")
-    prior = marks.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
-    prior = min(max(prior if prior is not None else 0.5, 0.01), 0.99)
     trusted = marks.where("y = 1").select("doc_id")
     free = stage(own.select("doc_id").join(marks, "doc_id", "left_anti"), "unlabelled")
     sampled = []
@@ -153,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
         rows = own.where(below).join(few, "doc_id", "left_semi")
         got = stage(_vectors(rows.select("doc_id", "text"), "doc_id"), "features").orderBy("doc_id", "x").limit(most).toArrow()
         sampled.append(np.array(got.column("x").to_pylist(), dtype=float).reshape(-1, N_FEATURES))
-    return fit_pu(*sampled, prior)
+    return fit_pu(*sampled, estimate_prior(*sampled))
 
 
 def score(docs: DataFrame, model: PuModel, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -55,6 +55,32 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, BPE).count() == 0
 
 
+def test_pretokens_serve_every_text():
+    """Texts with curly quotes, other scripts, marks, special strings and odd blanks through both tiers."""
+    from tokenizers import Tokenizer
+
+    from stowline.llm.pretokens import MOST_KEPT, PretokenCoder, pretokens
+
+    t, r = Tokenizer.from_file(BPE), random.Random(8)
+    odd = ["“it’s”", "naïve—no", "Привет", "мир", "ΟΔΟΣ", "漢字", "e\u0301", "\u0301", "한글", "İ", "<|endoftext|>", "a<|startoftext|>b", "<|", "\u2003", "\xa0", "\x85", "\x0b", "🎉", "don't", "X", "12", "…", "ﬁ", "\u212b", "क्षि"]
+    texts = ["".join(r.choice(odd) + r.choice(["", " ", "\n", "\t ", "\r\n"]) for _ in range(r.randrange(1, 40))) for _ in range(1500)]
+    coder = PretokenCoder(BPE, tuple, limit=50)
+    for _ in range(2):
+        assert [sum(v, ()) for v in coder.chunk(texts)] == [tuple(t.encode(x, add_special_tokens=False).ids) for x in texts]
+    assert pretokens("Привет it’s fine, ok") == ["Привет", "it’s", "fine", ",", "ok"]
+    coder.chunk(["漢" * (MOST_KEPT + 1)])
+    assert max(map(len, coder.cache), default=0) <= MOST_KEPT
+
+
+def test_frequent_pretokens_are_those_of_all_tasks(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdefghijklmno") * r.randrange(1, 9) for _ in range(50)) + " Привет" for _ in range(300)]
+    counts = Counter(w for x in texts for w in x.split())
+    want = sorted(counts, key=lambda w: (-counts[w], w))[:40]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(70)
+    assert token_counts.frequent_pretokens(df, table_size=1000)[:40] == want
+
+
 def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
@@ -546,6 +572,34 @@ def test_unigram_pass_finds_the_best_score():
         assert sum(own.scores[i] for i in own._unit(t)) == pytest.approx(best[-1])
 
 
+def test_pu_risk_and_gradients():
+    r = np.random.default_rng(1)
+    for shift, prior in ((0.0, 0.4), (-4.0, 0.9)):  # the second turns the negative part below 0
+        fp, fu = r.normal(1, 1, 7), r.normal(shift, 1, 9)
+        loss = lambda f: np.log1p(np.exp(-f)).mean()
+        part = lambda p, u, prior=prior: loss(-u) - prior * loss(-p)
+        value, gp, gu = quality_classifier.pu_risk(fp, fu, prior)
+        assert (part(fp, fu) < 0) == (shift < 0)
+        assert abs(value - prior * loss(fp) - max(0, part(fp, fu))) < 1e-12
+        goal = (lambda p, u, prior=prior: prior * loss(p) + part(p, u)) if shift == 0 else (lambda p, u: -part(p, u))
+        for f, g, at in ((fp, gp, 0), (fu, gu, 1)):
+            for k in range(len(f)):
+                step = np.zeros(len(f))
+                step[k] = 1e-5
+                up, down = ((f + step, fu), (f - step, fu)) if at == 0 else ((fp, f + step), (fp, f - step))
+                assert abs((goal(*up) - goal(*down)) / 2e-5 - g[k]) < 1e-7
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_positives_and_unlabelled(share):
+    r = np.random.default_rng(2)
+    draw = lambda n, at: r.normal(at, 1, (n, quality_classifier.N_FEATURES))
+    n = int(4000 * share)
+    got = quality_classifier.estimate_prior(draw(2000, 0.0), np.concatenate([draw(n, 0.0), draw(4000 - n, 1.5)]))
+    assert abs(got - share) < 0.06
+    assert quality_classifier.estimate_prior(draw(0, 0.0), draw(9, 0.0)) == 0.5
+
+
 def test_classifier(spark, docs, empty):
     r = random.Random(3)
     good = lambda: " ".join(r.choice(WORDS[:14]) + r.choice("abcdefgh") for _ in range(r.randrange(30, 200)))
