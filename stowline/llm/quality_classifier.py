@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk.
 
 Trusted positives are documents labelled 1, the unlabelled class is web text without a label, and the class prior
-is estimated from these two alone (`estimate_prior`); labels other than 1 are never used. A small network over counts of the whole text is
+is estimated from these two alone (`estimate_prior`); labels other than 1 only keep their rows out of both. A small network over counts of the whole text is
 fitted by minimising  pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])  with the logistic loss, so that its
 sigmoid estimates the probability of label 1.
 
