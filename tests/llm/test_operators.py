@@ -11,7 +11,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stowline.llm import components, decontamination, line_dedup, minhash, ngram_model, quality_classifier, quality_rules, sentencepieces, sharding, simhash, simple8b, token_counts, token_files, warc  # noqa: E402
+from stowline.llm import components, decontamination, line_dedup, minhash, near_copies, ngram_model, quality_classifier, quality_rules, sentencepieces, sharding, simhash, simple8b, token_counts, token_files, warc  # noqa: E402
 from stowline.llm.common import new_dir  # noqa: E402
 
 BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -227,6 +227,48 @@ def test_near_dedup_stage_reaches_similarity(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_dedup_stage_goes_through_simhash(spark, monkeypatch):
+    """Candidates of the pipeline's stage are SimHash's: fingerprints against plain sums, pairs of a block against all pairs."""
+    import corpus_pipeline
+
+    def plain(own, words):
+        out = []
+        for w in range(1, words + 1):
+            stretched = []
+            for h in map(int, own):
+                z = (h + w * 0x9E3779B97F4A7C15) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                stretched.append(z ^ z >> 31)
+            out += [int(2 * sum(z >> bit & 1 for z in stretched) > len(own)) for bit in range(63, -1, -1)]
+        return out
+
+    r = np.random.default_rng(5)
+    for n in (0, 1, 2, 300):
+        own = r.integers(0, 1 << 64, n, dtype=np.uint64)
+        assert near_copies.fingerprint(own, 3).tolist() == plain(own, 3)
+
+    # three blocks of few values, so that a key holds groups, chains and lone nodes
+    how = near_copies.Search(12, 3, 6)
+    centres = r.integers(-(1 << 63), 1 << 63, (4, 2))
+    rows = []
+    for k in range(150):
+        f = centres[k % 4].copy() if k % 5 else r.integers(-(1 << 63), 1 << 63, 2)
+        for bit in r.integers(0, 63, k % 7):
+            f[bit % 2] ^= 1 << int(bit)
+        rows.append((f"n{k:03d}", *map(int, f), [int(x) for x in r.integers(0, 6, 3)]))
+    near = lambda a, b: sum(((x ^ y) % 2**64).bit_count() for x, y in zip(a[1:3], b[1:3], strict=True)) <= 6
+    want = {(a[0], t << 31 | a[3][t]) for t in range(3) for a in rows for b in rows if a is not b and a[3][t] == b[3][t] and near(a, b)}
+    got = [tuple(x) for x in near_copies.met(spark.createDataFrame(rows, "node string, f0 long, f1 long, blocks array<int>"), how).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 20 < len({n for n, _ in want}) < 150
+
+    used = []
+    monkeypatch.setattr(near_copies, "met", lambda *a, met=near_copies.met: used.append(1) or met(*a))
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (4, "")], "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3] and used
+    assert near_copies.near_duplicates(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("group", [2, 7, 256])
 def test_links_lose_nothing(spark, group):
     """Clusters of close fingerprints, with sub-groups so small that the keys' members meet across many rows."""
